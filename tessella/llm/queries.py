@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_codec, chat_format, decontam, exact_dedup, near_dedup, quality_knn, sharding, token_count
 from .common import table
 
 
@@ -16,24 +17,76 @@ def tokenizer(name: str) -> str:
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_codec import digests, encode_column
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_column(docs, tokenizer("byte_bpe_50k.json"), finish=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string", keep=["doc_id"])
+    return bpe_codec.encode_column(docs, tokenizer("byte_bpe_50k.json"), finish=bpe_codec.digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string", keep=["doc_id"])
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import report
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_column(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_format.report(rows.unionByName(more))
+
+
+def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), 8)
+
+
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
-    return report(table(spark, sf_dir, "documents"))
 
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_quality_knn, op4_decontam, op5_exact_dedup, op7_token_count, op8_chat_format, op9_histogram_shards, op10_lsh_forest)}
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op5_exact_dedup)}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
 ORACLE_SQL = {
+    "op4_decontam": rf"""
+        WITH b AS (SELECT item_id, {_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS k
+            FROM (SELECT item_id, w, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+        d AS (SELECT doc_id, {_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS k
+               FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, k)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op5_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
+    "op10_lsh_forest": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, least(4, len(w)) AS n, array_to_string(w[i + 1 : i + 4], ' ') AS k
+              FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.n = y.n AND x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                  WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)""",
 }
