@@ -12,6 +12,7 @@ string of the vocabulary becomes its id wherever it stands in a text, as the lib
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 import json
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, steps, text_of
+from .common import bounded_batches, stash, steps, text_of
 
 #: Words in the lexicon.  They only make encoding faster; any number gives the same ids.
 LEXICON_WORDS = 1 << 16
@@ -168,9 +169,9 @@ def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             passed += count[to]
     ids = [entries[w] for w in words]
     parts = [
-        np.array([root, len(keys), len(final), len(ids), sum(map(len, ids))], np.int64),
-        np.array(keys, np.int64), np.array(targets, np.int64), np.array(outputs, np.int64), np.array(final, np.int64),
-        np.cumsum([0, *map(len, ids)]).astype(np.int64), np.array([x for y in ids for x in y], np.int64),
+        np.array([root, len(keys), len(final), len(ids), sum(map(len, ids))], np.int32),
+        np.array([k >> 8 for k in keys], np.int32), np.array([k & 255 for k in keys], np.int32), np.array(targets, np.int32), np.array(outputs, np.int32), np.array(final, np.int32),
+        np.cumsum([0, *map(len, ids)]).astype(np.int32), np.array([x for y in ids for x in y], np.int32),
     ]
     return b"".join(p.tobytes() for p in parts)
 
@@ -179,16 +180,26 @@ class Lexicon:
     """The memory-mapped automaton."""
 
     def __init__(self, blob: bytes) -> None:
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
+        folder = tempfile.gettempdir()
+        name = os.path.join(folder, f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
         if not os.path.exists(name):
-            with tempfile.NamedTemporaryFile(dir=os.path.dirname(name), delete=False) as f:
+            with tempfile.NamedTemporaryFile(dir=folder, prefix="making-", delete=False) as f:
                 f.write(blob)
             os.replace(f.name, name)
-        with open(name, "rb") as f:
-            view = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int64)
-        self.root, arcs, states, words, ids = map(int, view[:5])
-        self.keys, self.to, self.out, self.final, self.start, self.ids = np.split(view[5:], np.cumsum([arcs, arcs, arcs, states, words + 1]))
-        self.states = states
+            # A lexicon that no worker opens any more would stay; one that is mapped outlives its name.
+            for other in os.listdir(folder):
+                if other.startswith("lexicon-") and other != os.path.basename(name):
+                    with contextlib.suppress(OSError):
+                        os.unlink(os.path.join(folder, other))
+        try:
+            with open(name, "rb") as f:
+                view = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        except FileNotFoundError:  # another query's worker removed it just now
+            view = np.frombuffer(blob, np.int32)
+        self.root, arcs, self.states, words, ids = map(int, view[:5])
+        state, byte, self.to, self.out, self.final, self.start, self.ids = np.split(view[5:], np.cumsum([arcs, arcs, arcs, arcs, self.states, words + 1]))
+        #: Arcs in order of state and byte.
+        self.keys = state.astype(np.int64) << 8 | byte
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The row of each word, -1 for a word that is not in the lexicon.  All words walk at once, a byte a step."""
@@ -211,7 +222,7 @@ class Lexicon:
             key = state << 8 | blob[start[live] + depth]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[at] == key
-            live, state, total = live[ok], self.to[at[ok]], total[ok] + self.out[at[ok]]
+            live, state, total = live[ok], self.to[at[ok]].astype(np.int64), total[ok] + self.out[at[ok]]
             depth += 1
         return row
 
@@ -255,7 +266,8 @@ class Codec:
             per_text.append(len(index) - at)
         words = [w.encode() for w in number]
         row = self.lexicon.rows(words)
-        start, length = self.lexicon.start[row], self.lexicon.start[row + 1] - self.lexicon.start[row]
+        start = self.lexicon.start[row].astype(np.int64)
+        length = self.lexicon.start[row + 1] - start
         extra: list[int] = []
         base = len(self.lexicon.ids)
         for i in np.flatnonzero(row < 0).tolist():
@@ -280,13 +292,21 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts with a space before them, as the splitter sees them.
+    """The most frequent words of all texts, at most ``words``, between spaces and line ends.
 
-    Partial aggregation leaves one row a word and task to shuffle; the driver gets at most ``words``.
+    Partial aggregation leaves one row a word and task to shuffle; the driver gets a histogram of the
+    counts, and then only the words of the lexicon.
     """
     word = docs.select(F.explode(F.split(text_of(), "[ \\n]")).alias("w")).where(F.length("w").between(1, 32))
-    counts = word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(words).collect()]
+    counts = stash(word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # How many words are how frequent (in at most a thousand steps), then those above the step that fits.
+    step = F.when(F.col("n") < 500, F.col("n")).otherwise(F.least(F.lit(1000), 500 + F.floor(20 * F.log2(F.col("n") / 500)))).cast("int")
+    least, total = 1001, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        if total + r["count"] > words:
+            break
+        least, total = r.step, total + r["count"]
+    return [r.w for r in counts.where(step >= least).select("w").orderBy("w").limit(words).collect()]
 
 
 def corpus_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:

@@ -1,9 +1,9 @@
 """Near-duplicate groups by an LSH forest.
 
-Every text has a signature of TREES x DEPTH minhashes; tree t orders texts by the hashes
-t*DEPTH, t*DEPTH + 1, ....  Texts whose longest common prefix in some tree has at least ROOT hashes are
-neighbours, i.e. they stand in one *region* of that order; a region with more than REGION texts is cut
-at the next depth, and only such a region is (adaptive depth).
+Every text has a signature of 256 minhashes; each of 16 trees orders texts by 16 of them.  Texts whose
+longest common prefix in some tree has at least three hashes are neighbours, i.e. they stand in one
+*region* of that order; a region with more than REGION texts is cut at the next depth, and only such a
+region is (adaptive depth).
 
 Equal shingle sets are one class first, so copies cost nothing from there on.  A region of few classes
 gives pairs, which are confirmed on the full sets of both texts.  In a larger region the texts
@@ -11,7 +11,7 @@ themselves come together: pairs are taken by falling estimate, a pair already co
 the others are confirmed on their full sets, and only the confirmed links leave, fewer than texts.
 Components of all confirmed links are found by star contraction.
 
-Two texts of similarity J share a region with probability 1 - (1 - J**ROOT)**TREES: 0.99999 at 0.8.
+Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8.
 Pairs whose estimate is more than four standard deviations below the threshold aren't confirmed.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay; fewer
@@ -22,8 +22,9 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,26 @@ from .common import bounded_batches, fresh, stash, text_of
 from .components import components
 from .exact_dedup import MAX_BROADCAST_WORDS
 
-TREES, DEPTH, ROOT = 16, 16, 3
-#: Prefix lengths at which regions are made.
-DEPTHS = (ROOT, 6, 10, DEPTH)
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees, hashes from the start of one tree to that of the next, and the prefix lengths at which regions are made."""
+
+    trees: int
+    step: int
+    depths: tuple[int, ...]
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * self.step
+
+    def least_estimate(self, similarity: float) -> float:
+        """Four standard deviations below the similarity."""
+        return similarity - 4 * (similarity * (1 - similarity) / self.hashes) ** 0.5
+
+
+DOCUMENTS = Forest(16, 16, (3, 6, 10, 16))
 #: Most classes of a region that are compared in one task, and of one that gives pairs.
 REGION, FEW = 2000, 6
 #: Words whose hashes a worker remembers.
@@ -45,8 +63,8 @@ MEMO_WORDS = 500_000
 
 LOWER = bytes((b | 32) if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20)
-_A = (_RNG.integers(1, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
+_A = (_RNG.integers(1, 1 << 32, 256, np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 _C = _RNG.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
@@ -84,13 +102,14 @@ class Shingler:
         return np.unique(x)
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, hashes: int = 256) -> bytes:
     """The low bytes of all minhashes, then their next bytes."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(_A), 0xFFFFFFFF, np.uint32)
+    a, b = _A[:hashes], _B[:hashes, None]
+    low = np.full(hashes, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 1024):
-        y = np.multiply.outer(_A, x[at : at + 1024])
-        y += _B[:, None]
+        y = np.multiply.outer(a, x[at : at + 1024])
+        y += b
         np.minimum(low, y.min(1), out=low)
     low ^= low >> 15
     low = low * np.uint32(0x2C1B3C6D)
@@ -122,34 +141,48 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, FEATURES)
 
 
-def _region(tree: Column, depth: int) -> Column:
-    """The name of the region of a tree's prefix."""
-    half = F.lit(TREES * DEPTH)
-    low = F.substring(F.col("sig"), tree * DEPTH + 1, F.lit(depth))
-    high = F.substring(F.col("sig"), half + tree * DEPTH + 1, F.lit(depth))
-    return F.xxhash64(tree, F.lit(depth), low, high)
+def _region(forest: Forest, tree: Column, depth: int) -> Column:
+    """The name of the region of a tree's prefix; a prefix that goes beyond the last hash goes on with the first."""
+    half = F.lit(forest.hashes)
+    low = F.substring(F.col("sig"), 1, forest.hashes)
+    high = F.substring(F.col("sig"), half + 1, half)
+    at = tree * forest.step + 1
+    return F.xxhash64(tree, F.lit(depth), F.substring(F.concat(low, low), at, F.lit(depth)), F.substring(F.concat(high, high), at, F.lit(depth)))
 
 
-def regions(reps: DataFrame) -> DataFrame:
+def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of keys whose region is in sizes, with its members.
+
+    A Bloom filter of the regions goes first, where its checked size allows a broadcast, since most
+    texts have no neighbour at all.
+    """
+    words = max(1, sizes.count() // 3)
+    if words <= MAX_BROADCAST_WORDS:
+        word, bit = F.pmod(F.col("region"), F.lit(words)), F.pmod(F.xxhash64("region"), F.lit(64)).cast("int")
+        bits = sizes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        keys = keys.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).drop("word", "bits")
+    return keys.join(sizes, "region")
+
+
+def regions(reps: DataFrame, forest: Forest = DOCUMENTS) -> DataFrame:
     """(region, members, rep) of all regions of two classes or more.  reps: rep and sig."""
     found = None
-    left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    for level, depth in enumerate(DEPTHS):
-        keyed = left.withColumn("region", _region(F.col("tree"), depth))
-        sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        sizes = stash(sizes)
-        small = keyed.select("rep", "region").join(sizes.where(F.col("members") <= REGION), "region").select("region", "members", "rep")
+    left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    for level, depth in enumerate(forest.depths):
+        keyed = left.withColumn("region", _region(forest, F.col("tree"), depth))
+        sizes = stash(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+        small = _shared(keyed.select("rep", "region"), sizes.where(F.col("members") <= REGION)).select("region", "members", "rep")
         found = small if found is None else found.unionByName(small)
         large = sizes.where(F.col("members") > REGION)
         if large.isEmpty():
             return found
-        left = stash(keyed.join(large, "region").select("rep", "sig", "tree", "region", "members"))
-        if level + 1 < len(DEPTHS):
+        left = stash(_shared(keyed, large).select("rep", "sig", "tree", "region", "members"))
+        if level + 1 < len(forest.depths):
             left = left.drop("region", "members")
     # Texts that agree in all hashes of a tree: cut into parts by the id; the first of each part also
     # meet in regions of their own.
     while True:
-        parts = left.withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / (REGION // 2)))))
+        parts = left.withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / (REGION // 2)))))
         sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.first("region").alias("whole"))
         found = found.unionByName(parts.join(sizes, "part").select(F.col("part").alias("region"), F.col("n").alias("members"), "rep"))
         heads = sizes.select(F.xxhash64("whole", F.lit(1)).alias("region"), F.col("head").alias("rep"))
@@ -166,11 +199,6 @@ def estimates(sigs: np.ndarray, i: int) -> np.ndarray:
     return (sigs[i + 1 :] == sigs[i]).mean(1)
 
 
-@cache
-def least_estimate(similarity: float) -> float:
-    return similarity - 4 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5
-
-
 def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each value of the first column.  Equal values come together."""
     held: list[pa.RecordBatch] = []
@@ -194,33 +222,36 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _small(members: DataFrame, percent: int) -> DataFrame:
+def _sigs(column: pa.ChunkedArray, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(s.as_py()[:hashes] for s in column), np.uint8).reshape(len(column), hashes)
+
+
+def _small(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
     """Pairs of the small regions whose estimate is high enough.  members: region, rep, sig."""
+    kind = {"a": pa.int64(), "b": pa.int64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_estimate(percent / 100)
-        half = TREES * DEPTH
+        least = forest.least_estimate(percent / 100)
         a: list[int] = []
         b: list[int] = []
         for group in grouped(batches):
             ids = group.column(1).to_pylist()
-            sigs = np.frombuffer(b"".join(s.as_py()[:half] for s in group.column(2)), np.uint8).reshape(len(ids), half)
+            sigs = _sigs(group.column(2), forest.hashes)
             for i in range(len(ids) - 1):
                 for j in np.flatnonzero(estimates(sigs, i) >= least).tolist():
                     x, y = ids[i], ids[i + 1 + j]
                     a.append(min(x, y))
                     b.append(max(x, y))
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=pa.schema(kind))
                 a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=pa.schema(kind))
 
     return members.select("region", "rep", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
-def region_links(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+def region_links(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], least: float, percent: int) -> Iterator[tuple[int, int]]:
     """Confirmed links that connect whatever all confirmed links would connect, fewer than texts."""
-    least = least_estimate(percent / 100)
     n = len(ids)
     first, second, estimate = [], [], []
     for i in range(n - 1):
@@ -247,35 +278,47 @@ def region_links(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], perce
                 yield ids[x], ids[y]
 
 
-def _large(members: DataFrame, size: int, percent: int) -> DataFrame:
+def _large(members: DataFrame, forest: Forest, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
     """Confirmed links of the larger regions.  members: region, rep, sig, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, half = Shingler(size), TREES * DEPTH
+        shingles, least = shingler(), forest.least_estimate(percent / 100)
         for group in grouped(batches):
-            ids = group.column(1).to_pylist()
-            sigs = np.frombuffer(b"".join(s.as_py()[:half] for s in group.column(2)), np.uint8).reshape(len(ids), half)
-            sets = [shingler(t.as_py()) for t in group.column(3)]
-            links = list(region_links(ids, sigs, sets, percent))
+            sets = [shingles(t.as_py()) for t in group.column(3)]
+            links = list(region_links(group.column(1).to_pylist(), _sigs(group.column(2), forest.hashes), sets, least, percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
     return members.select("region", "rep", "sig", "text").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
     """The pairs that are links on their full sets.  texts: rep and text."""
     one = pairs.join(texts.withColumnsRenamed({"rep": "a", "text": "ta"}), "a")
     two = one.join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingles = shingler()
         for batch in batches:
-            ok = [linked(shingler(x.as_py()), shingler(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = [linked(shingles(x.as_py()), shingles(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(list(batch.select([0, 1]).filter(pa.array(ok, pa.bool_())).columns), ["a", "b"])
 
     return two.mapInArrow(run, "a long, b long")
 
 
+def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
+    """node and root of every rep that is linked to a smaller one.
+
+    reps: rep and sig.  texts: makes rep and text of a table of wanted reps.
+    """
+    members = stash(regions(reps, forest))
+    few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
+    pairs = stash(_small(few.join(reps, "rep"), forest, percent))
+    wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(many.select("rep")).distinct())
+    full = stash(texts(wanted))
+    links = _confirmed(pairs, full, shingler, percent).unionByName(_large(many.join(reps, "rep").join(full, "rep"), forest, shingler, percent))
+    return components(links)
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep and text of the wanted ids.  A Bloom filter of the ids is tested where the texts are read,
     so that hardly any other text moves."""
@@ -297,14 +340,8 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     classes = stash(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     named = classes.where("rep IS NOT NULL")
     reps = stash(some.join(named.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]))
-    members = stash(regions(reps))
-    few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
-    pairs = stash(_small(few.join(reps, "rep"), percent))
-    wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(many.select("rep")).distinct())
-    texts = stash(texts_of(docs, wanted))
-    links = _confirmed(pairs, texts, shingle, percent).unionByName(_large(many.join(reps, "rep").join(texts, "rep"), shingle, percent))
-    roots = components(links)
-    rooted = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
+    linked_ = roots(reps, lambda wanted: texts_of(docs, wanted), DOCUMENTS, partial(Shingler, shingle), percent)
+    rooted = named.join(linked_.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
     # Only classes of several rows, or that were linked, need to be looked up again.
     told = rooted.join(named.select("k1", "k2", "rep"), ["k1", "k2"]).where("n > 1 OR component_id <> rep").select("k1", "k2", "component_id")
     out = feats.select("doc_id", "n_shingles", "k1", "k2").join(told, ["k1", "k2"], "left")

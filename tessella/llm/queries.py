@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontam, exact_dedup, near_dedup, quality_knn, sharding, token_count
+from . import bpe_codec, chat_format, decontam, exact_dedup, line_dedup, near_dedup, pii_feistel, quality_knn, sharding, token_count
 from .common import table
 
 
@@ -25,6 +25,15 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The key of the registered query.  A production run passes its own.
+DEMO_KEY = b"registered query"
+
+
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", "text", "n_private", F.array_join("spans.kind", ",").alias("kinds"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_column(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
@@ -52,7 +65,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_quality_knn, op4_decontam, op5_exact_dedup, op7_token_count, op8_chat_format, op9_histogram_shards, op10_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_quality_knn, op3_pii_feistel, op4_decontam, op5_exact_dedup, op6_line_minhash, op7_token_count, op8_chat_format, op9_histogram_shards, op10_lsh_forest)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
