@@ -2,9 +2,10 @@
 
 The lexicon holds the most frequent words of the corpus (counted over all of it) and their id
 sequences.  It is a minimal acyclic automaton: words share prefixes and suffixes, arcs carry integer
-outputs whose sum along a word is the word's row in a table of id sequences.  The arrays go to one
-file, which the Python workers of an executor memory-map, so they share its pages.  Words that the
-lexicon lacks are merged exactly by merge rank.  Decoding joins the bytes of the ids.
+outputs whose sum along a word is the word's row in a table of id sequences.  The arrays are one file in
+the shared folder, which Spark hands to each executor that needs it; the Python workers there
+memory-map it and so share its pages.  Words that the lexicon lacks are merged exactly by merge rank.
+Decoding joins the bytes of the ids.
 
 Defined cases: null is an empty text, which has no ids and decodes to an empty text; the special
 string of the vocabulary becomes its id wherever it stands in a text, as the library does.
@@ -12,22 +13,21 @@ string of the vocabulary becomes its id wherever it stands in a text, as the lib
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stash, steps, text_of
+from .common import bounded_batches, fresh, named, shared_path, stash, steps, text_of
 
 #: Words in the lexicon.  They only make encoding faster; any number gives the same ids.
 LEXICON_WORDS = 1 << 16
@@ -179,23 +179,9 @@ def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 class Lexicon:
     """The memory-mapped automaton."""
 
-    def __init__(self, blob: bytes) -> None:
-        folder = tempfile.gettempdir()
-        name = os.path.join(folder, f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
-        if not os.path.exists(name):
-            with tempfile.NamedTemporaryFile(dir=folder, prefix="making-", delete=False) as f:
-                f.write(blob)
-            os.replace(f.name, name)
-            # A lexicon that no worker opens any more would stay; one that is mapped outlives its name.
-            for other in os.listdir(folder):
-                if other.startswith("lexicon-") and other != os.path.basename(name):
-                    with contextlib.suppress(OSError):
-                        os.unlink(os.path.join(folder, other))
-        try:
-            with open(name, "rb") as f:
-                view = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
-        except FileNotFoundError:  # another query's worker removed it just now
-            view = np.frombuffer(blob, np.int32)
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            view = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
         self.root, arcs, self.states, words, ids = map(int, view[:5])
         state, byte, self.to, self.out, self.final, self.start, self.ids = np.split(view[5:], np.cumsum([arcs, arcs, arcs, arcs, self.states, words + 1]))
         #: Arcs in order of state and byte.
@@ -237,7 +223,7 @@ def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 class Codec:
     """Encodes and decodes texts in one worker."""
 
-    def __init__(self, path: str, lexicon: bytes) -> None:
+    def __init__(self, path: str, lexicon: str) -> None:
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(lexicon)
         self.memo: dict[bytes, list[int]] = {}
 
@@ -323,6 +309,20 @@ def corpus_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> by
     return build_lexicon(entries)
 
 
+def shipped(spark: SparkSession, blob: bytes) -> str:
+    """Puts bytes into the shared folder, from which Spark hands them to each executor.  Returns the name
+    under which workers find the file."""
+    path = shared_path(spark, "lexicon")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(blob))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
+
+
 ENCODED = "ids array<int>, decoded string"
 
 
@@ -334,19 +334,19 @@ def encode_column(docs: DataFrame, path: str, words: int = LEXICON_WORDS, finish
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(corpus_lexicon(docs, path, words))
+    lexicon = shipped(spark, corpus_lexicon(docs, path, words))
     make = finish or (lambda ids, counts, decoded: [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())])
     new = spark.createDataFrame([], schema).schema
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in new}]
-    source = docs.select(*kept, text_of().alias("__text"))
-    out = docs.select(*kept).schema
+    source = docs.select(*named(kept), text_of().alias(fresh(docs, "text")))
+    out = docs.select(*named(kept)).schema
     for field in new:
         out = out.add(field)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(path, shared.value)
+            codec = codec or Codec(path, SparkFiles.get(lexicon))
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in steps(texts):
                 ids, counts = codec.encode(texts[a:b])

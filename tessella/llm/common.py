@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, shared_path
+from ..session import written as stash
+
+__all__ = ["bounded_batches", "fresh", "named", "shared_dir", "shared_path", "stash", "steps", "table", "text_of"]
+
 #: Rows and bytes of an Arrow batch that goes to a Python worker.  A worker holds one batch at a
 #: time, so these bound its memory (a single longer text still goes whole).
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -27,47 +29,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessella-")
-        context.setCheckpointDir(path)
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
-_STASHED: list[tuple[SparkSession, str]] = []
-
-
-def _clear() -> None:
-    for spark, path in _STASHED:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has gone; nothing is left to clear with
-            return
-
-
-atexit.register(_clear)
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back.
-
-    This cuts the lineage: what follows reads files that survive the loss of an executor.  The
-    files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _STASHED:
-        atexit.unregister(_clear)
-        atexit.register(_clear)
-    _STASHED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters those have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
 def text_of(name: str = "text") -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, stash, text_of
+from .common import bounded_batches, fresh, named, stash, text_of
 
 #: Words of a window.
 WINDOW = 10
@@ -134,12 +134,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
     parts = list(blocks(benchmark, block_bytes))
     if len(parts) == 1:
-        return _scanned(docs.select(*kept, text_of().alias("__text")), parts[0], window, added)
+        return _scanned(docs.select(*named(kept), text_of().alias(fresh(docs, "text"))), parts[0], window, added)
     # More than one block: each scans all texts and gives rows for hit documents only, which then
     # meet by a row number.
     number = fresh(docs, "row")
-    rows = stash(docs.select(*kept).withColumn(number, F.monotonically_increasing_id()))
-    slim = rows.select(number, text_of().alias("__text"))
+    rows = stash(docs.select(*named(kept)).withColumn(number, F.monotonically_increasing_id()))
+    slim = rows.select(number, text_of().alias(fresh(docs, "text")))
     found = None
     for part in parts:
         one = _scanned(slim, part, window, added).where(F.size("items") > 0).select(number, "runs", "items")
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     counted = _scanned(slim, [], window, added).select(number, "n_words")
     empty = F.array().cast("array<struct<start: int, stop: int>>")
     apart = _joined_runs(joined.select(number, "runs", "items"))
-    return rows.join(counted, number).join(apart, number, "left").select(*kept, "n_words", F.coalesce("runs", empty).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return rows.join(counted, number).join(apart, number, "left").select(*named(kept), "n_words", F.coalesce("runs", empty).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _joined_runs(found: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """The documents in which no window occurs."""
     runs = fresh(docs, "runs")
     kept = docs.columns
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias(runs), text_of().alias("text"))
+    marked = docs.select(F.struct(*named(kept)).alias(runs), text_of().alias("text"))
     found = contamination(marked, benchmark, window).where(F.size("runs") == 0)
     return found.select(*(F.col(runs)[c].alias(c) for c in kept))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stash, text_of
+from .common import fresh, named, stash, text_of
 
 #: Filter words that may be broadcast: 2**21 rows of 16 bytes, some 50 MB as a hash relation.
 MAX_BROADCAST_WORDS = 1 << 21
@@ -91,8 +91,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(sha, F.sha2(normalised(text_of()), 256))
     filter_ = stash(repeated_bits(keyed.select(sha), words))
     rows = tested(keyed, sha, filter_, words, maybe)
-    unique = rows.where(~F.col(maybe)).select(*docs.columns)
+    unique = rows.where(~F.col(maybe)).select(*named(docs.columns))
     possible = rows.where(maybe)
     groups = possible.groupBy(sha).agg(F.min("doc_id").alias(keep))
-    stay = possible.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(*docs.columns)
+    stay = possible.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(*named(docs.columns))
     return unique.unionByName(stay)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh, named
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -226,4 +226,4 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*named(kept), F.col("text").cast("string").alias(fresh(docs, "text"))).mapInArrow(run, schema)

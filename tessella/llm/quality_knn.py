@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, fresh, named, text_of
 
 TERMS, RANK, SAMPLE, NEIGHBOURS = 4096, 48, 4000, 15
 #: The power of the similarity in a vote.
@@ -164,7 +164,7 @@ def score_column(docs: DataFrame, model: Model, name: str = "score") -> DataFram
             made = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), text_of().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*named(kept), text_of().alias(fresh(docs, "text"))).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,4 +179,4 @@ def accepted(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None)
     while score in {c.lower() for c in docs.columns}:
         score += "_"
     scored = score_column(docs, fit(docs if learn is None else learn, labels), score)
-    return scored.where(F.col(score) >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scored.where(F.col(score) >= THRESHOLD).select(*named(docs.columns))

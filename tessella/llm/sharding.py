@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stash, text_of
+from .common import fresh, named, stash, text_of
 
 #: Bits of the first histogram of a hash, and of each refinement.
 FIRST, MORE = 16, 12
@@ -138,7 +138,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, whole: flo
     h, d, part = (fresh(docs, x) for x in ("h", "d", "part"))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     text = text_of()
-    keyed = docs.select(*kept, F.xxhash64(text).alias(h), F.xxhash64(F.col("doc_id"), F.lit(1)).alias(d))
+    keyed = docs.select(*named(kept), F.xxhash64(text).alias(h), F.xxhash64(F.col("doc_id"), F.lit(1)).alias(d))
     keys = stash(docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.col("doc_id"), F.lit(1)).alias("d"), (F.octet_length(text) + 1).cast("long").alias("size")))
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells, splits = histogram(keys, shards, tolerance, whole, max(tasks, shards))
@@ -163,17 +163,17 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, whole: flo
         size += c.size
         slot += c.rows
     # One row a part and one a cell of the first histogram: bounded as the histogram is.
-    named = spark.createDataFrame([(b, first, starts) for b, (first, starts) in bins.items()], "bin long, first int, starts array<struct<h: long, d: long>>")
-    named = named.select(*(F.col(c).alias(fresh(docs, c)) for c in named.columns))
-    bin_, first, starts = named.columns
+    bounds = spark.createDataFrame([(b, first, starts) for b, (first, starts) in bins.items()], "bin long, first int, starts array<struct<h: long, d: long>>")
+    bounds = bounds.select(*(F.col(c).alias(fresh(docs, c)) for c in bounds.columns))
+    bin_, first, starts = bounds.columns
     offsets = spark.createDataFrame(parts, f"{part} int, shard int, before long")
     before = fresh(docs, "before")
     offsets = offsets.withColumnRenamed("before", before)
     number = F.col(first) + F.size(F.filter(F.col(starts), lambda s: s <= F.struct(F.col(h).alias("h"), F.col(d).alias("d"))))
-    placed = keyed.withColumn(bin_, F.expr(f"shiftright({h}, {64 - FIRST})")).join(F.broadcast(named), bin_).withColumn(part, number.cast("int")).drop(bin_, first, starts)
+    placed = keyed.withColumn(bin_, F.expr(f"shiftright({h}, {64 - FIRST})")).join(F.broadcast(bounds), bin_).withColumn(part, number.cast("int")).drop(bin_, first, starts)
     rank = F.row_number().over(Window.partitionBy(part).orderBy(h, d, "doc_id"))
     slots = placed.withColumn("slot", rank.cast("long"))
-    return slots.join(F.broadcast(offsets), part).select(*kept, "shard", (F.col("slot") - 1 + F.col(before)).alias("slot"))
+    return slots.join(F.broadcast(offsets), part).select(*named(kept), "shard", (F.col("slot") - 1 + F.col(before)).alias("slot"))
 
 
 def report(docs: DataFrame, shards: int = 8) -> DataFrame:

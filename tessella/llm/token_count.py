@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, steps, text_of
+from .common import bounded_batches, fresh, named, steps, text_of
 
 #: Counted words that a worker remembers.
 MEMO_WORDS = 500_000
@@ -153,7 +153,7 @@ def count_column(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     kept = [c for c in docs.columns if c.lower() not in {"text", *(f.name for f in new)}]
     schema = T.StructType([*(docs.schema[c] for c in kept), *new])
-    source = docs.select(*kept, F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("__text"))
+    source = docs.select(*named(kept), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias(fresh(docs, "text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = None
