@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, named, shared_path, stash, steps, text_of
+from .common import bounded_batches, fresh, map_arrow, named, shared_path, stash, steps, text_of
 
 #: Words in the lexicon.  They only make encoding faster; any number gives the same ids.
 LEXICON_WORDS = 1 << 16
@@ -353,7 +353,7 @@ def encode_column(docs: DataFrame, path: str, words: int = LEXICON_WORDS, finish
                 made = make(ids, counts, codec.decode(ids, counts))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], [f.name for f in out])
 
-    return source.mapInArrow(run, out)
+    return map_arrow(source, run, out)
 
 
 def digests(ids: np.ndarray, counts: np.ndarray, decoded: list[str]) -> list[pa.Array]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import shared_dir, shared_path
 from ..session import written as stash
 
-__all__ = ["bounded_batches", "fresh", "named", "shared_dir", "shared_path", "stash", "steps", "table", "text_of"]
+__all__ = ["bounded_batches", "fresh", "map_arrow", "named", "shared_dir", "shared_path", "stash", "steps", "table", "text_of"]
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker.  A worker holds one batch at a
 #: time, so these bound its memory (a single longer text still goes whole).
@@ -34,6 +35,19 @@ def named(columns: Iterable[str]) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
+def map_arrow(source: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow for any names of columns, which Spark resolves there as if they were expressions."""
+    inner = [f"c{i}" for i in range(len(schema.fields))]
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield batch.rename_columns(inner)
+
+    plain = source.toDF(*(f"c{i}" for i in range(len(source.columns))))
+    made = StructType([StructField(c, f.dataType, True) for c, f in zip(inner, schema.fields, strict=True)])
+    return plain.mapInArrow(renamed, made).toDF(*schema.names)
+
+
 def text_of(name: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

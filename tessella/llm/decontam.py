@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, named, stash, text_of
+from .common import bounded_batches, fresh, map_arrow, named, stash, text_of
 
 #: Words of a window.
 WINDOW = 10
@@ -181,7 +181,7 @@ def _scanned(source: DataFrame, items: list[tuple[object, str]], window: int, ad
                 ids.append(sorted(map(str, found)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(runs, kind), pa.array(ids, pa.list_(pa.string()))], [f.name for f in schema])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, named
+from .common import bounded_batches, fresh, map_arrow, named
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -210,6 +210,7 @@ NEW = "text string, n_private long, spans array<struct<kind: string, start: int,
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in text, and n_private and spans (of the source text, in characters)."""
     bounded_batches(docs.sparkSession)
+    Pseudonyms(key)  # an empty key is refused here, not in a task
     new = T.StructType.fromDDL(NEW)
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in new}]
     schema = T.StructType([*(docs.schema[c] for c in kept), *new.fields])
@@ -226,4 +227,4 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], schema.names)
 
-    return docs.select(*named(kept), F.col("text").cast("string").alias(fresh(docs, "text"))).mapInArrow(run, schema)
+    return map_arrow(docs.select(*named(kept), F.col("text").cast("string").alias(fresh(docs, "text"))), run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, named, text_of
+from .common import bounded_batches, fresh, map_arrow, named, text_of
 
 TERMS, RANK, SAMPLE, NEIGHBOURS = 4096, 48, 4000, 15
 #: The power of the similarity in a vote.
@@ -164,7 +164,7 @@ def score_column(docs: DataFrame, model: Model, name: str = "score") -> DataFram
             made = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], schema.names)
 
-    return docs.select(*named(kept), text_of().alias(fresh(docs, "text"))).mapInArrow(run, schema)
+    return map_arrow(docs.select(*named(kept), text_of().alias(fresh(docs, "text"))), run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

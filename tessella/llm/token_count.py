@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, named, steps, text_of
+from .common import bounded_batches, fresh, map_arrow, named, steps, text_of
 
 #: Counted words that a worker remembers.
 MEMO_WORDS = 500_000
@@ -163,4 +163,4 @@ def count_column(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             counts = [n for a, b in steps(texts) for n in ranks.counts(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], [f.name for f in schema])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
