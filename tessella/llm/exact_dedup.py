@@ -74,7 +74,8 @@ def report(docs: DataFrame) -> DataFrame:
     rows = tested(slim, "text_sha256", filter_, words, "__possible")
     unique = rows.where("not __possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     possible = rows.where("__possible").select("doc_id", "text_sha256")
-    groups = possible.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join has an exchange on either side and Spark can split a hot text's rows.
+    groups = stash(possible.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     repeated = possible.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return unique.unionByName(repeated)
 
@@ -93,6 +94,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = tested(keyed, sha, filter_, words, maybe)
     unique = rows.where(~F.col(maybe)).select(*named(docs.columns))
     possible = rows.where(maybe)
-    groups = possible.groupBy(sha).agg(F.min("doc_id").alias(keep))
+    groups = stash(possible.groupBy(sha).agg(F.min("doc_id").alias(keep)))
     stay = possible.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(*named(docs.columns))
     return unique.unionByName(stay)
