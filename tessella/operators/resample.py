@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import halved
 from ..functions.kernels import HALO, TAPS, taps
+from ..session import written
 
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -25,23 +26,19 @@ def _owned(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return pixels.where((F.col("r") < 2 * halved(height)) & (F.col("c") < 2 * halved(width)))
 
 
-def overview(pixels: DataFrame, kernel: str, height: int, width: int, rounded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """band, r, c, v of the next level; rounded: half away from zero, in the type of the pixels.
-
-    keep: further columns that all source pixels of an output pixel agree in; grouping by them too lets
-    a raster that is dealt out by them stay where it is.
-    """
+def overview(pixels: DataFrame, kernel: str, height: int, width: int, rounded: bool = False) -> DataFrame:
+    """band, r, c, v of the next level; rounded: half away from zero, in the type of the pixels."""
     if kernel not in HALO:
         raise ValueError(f"no kernel {kernel}")
     kind = dict(pixels.dtypes)["v"]
     if kernel == "nearest":
         owned = _owned(pixels, height, width).where("r % 2 = 0 AND c % 2 = 0")
-        return owned.select(*keep, "band", _half("r").alias("r"), _half("c").alias("c"), "v")
+        return owned.select("band", _half("r").alias("r"), _half("c").alias("c"), "v")
     if kernel in TAPS:
-        out = _by_taps(pixels, kernel, height, width, kind in WHOLE, keep)
+        out = _by_taps(pixels, kernel, height, width, kind in WHOLE)
     else:
-        cells = _owned(pixels, height, width).select(*keep, "band", _half("r").alias("r"), _half("c").alias("c"), "v")
-        by = cells.groupBy(*keep, "band", "r", "c")
+        cells = _owned(pixels, height, width).select("band", _half("r").alias("r"), _half("c").alias("c"), "v")
+        by = cells.groupBy("band", "r", "c")
         if kernel == "average":
             out = by.agg(F.avg("v").alias("v"))
         elif kernel == "rms":
@@ -61,14 +58,12 @@ def _mode(name: str) -> Column:
     return F.element_at(F.filter(counted, lambda s: s["n"] == best), 1)["v"]
 
 
-def _by_taps(pixels: DataFrame, kernel: str, height: int, width: int, whole: bool, keep: tuple[str, ...]) -> DataFrame:
+def _by_taps(pixels: DataFrame, kernel: str, height: int, width: int, whole: bool) -> DataFrame:
     """Columns, then rows: sums of w * v and w pass through both, so the quotient is over all valid taps.
 
     A pixel reaches only taps of its own parity, which are an array in its row: no join.
     """
     kind = "bigint" if whole else "double"
-    own = {"bilinear", "cubic", "cubicspline", "lanczos", "gauss"}
-
     def spread(cells: DataFrame, axis: str, length: int, columns: list[Column]) -> DataFrame:
         def some(parity: int) -> Column:
             return F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).cast(kind).alias("w")) for k, w in taps(kernel) if k % 2 == parity))
@@ -77,35 +72,27 @@ def _by_taps(pixels: DataFrame, kernel: str, height: int, width: int, whole: boo
         at = F.col(axis) - F.col("tap.k")
         return out.where((at >= 0) & (at < 2 * halved(length))).select(*columns, F.call_function("div", at, F.lit(2)).cast("int").alias(axis), "tap")
 
-    assert kernel in own
     near = F.col("tap.k").isin(0, 1)
-    source = pixels.select(*keep, "band", "r", "c", F.col("v").cast(kind).alias("v"))
-    across = spread(source, "c", width, [*map(F.col, keep), F.col("band"), F.col("r"), F.col("v")])
-    across = across.groupBy(*keep, "band", "r", "c").agg(F.sum(F.col("tap.w") * F.col("v")).alias("nv"), F.sum("tap.w").alias("nw"), F.max(near).alias("own"))
-    down = spread(across, "r", height, [*map(F.col, keep), F.col("band"), F.col("c"), F.col("nv"), F.col("nw"), F.col("own")])
-    down = down.groupBy(*keep, "band", "r", "c").agg(F.sum(F.col("tap.w") * F.col("nv")).alias("nv"), F.sum(F.col("tap.w") * F.col("nw")).alias("nw"), F.max(F.col("own") & near).alias("own"))
+    source = pixels.select("band", "r", "c", F.col("v").cast(kind).alias("v"))
+    across = spread(source, "c", width, [F.col("band"), F.col("r"), F.col("v")])
+    across = across.groupBy("band", "r", "c").agg(F.sum(F.col("tap.w") * F.col("v")).alias("nv"), F.sum("tap.w").alias("nw"), F.max(near).alias("own"))
+    down = spread(across, "r", height, [F.col("band"), F.col("c"), F.col("nv"), F.col("nw"), F.col("own")])
+    down = down.groupBy("band", "r", "c").agg(F.sum(F.col("tap.w") * F.col("nv")).alias("nv"), F.sum(F.col("tap.w") * F.col("nw")).alias("nw"), F.max(F.col("own") & near).alias("own"))
     # Negative weights can cancel; a pixel without weight has no value.
     value = F.col("nv").cast("double") / F.nullif(F.col("nw").cast("double"), F.lit(0.0))
-    return down.where("own").select(*keep, "band", "r", "c", value.alias("v")).where("v IS NOT NULL")
-
-
-def ancestors(pixels: DataFrame, levels: int) -> DataFrame:
-    """Adds up and left: the pixel that many levels up.  Dealt out by them once, all kernels without a
-    halo can make those levels with no other exchange."""
-    shifted = lambda c: F.call_function("shiftright", F.col(c), F.lit(levels))
-    return pixels.select("*", shifted("r").alias("up"), shifted("c").alias("left"))
+    return down.where("own").select("band", "r", "c", value.alias("v")).where("v IS NOT NULL")
 
 
 def pyramid(pixels: DataFrame, kernel: str, height: int, width: int, levels: int, rounded: bool = True) -> DataFrame:
     """level, band, r, c, v of all levels from 0; each is made from the one before, rounded to the type
-    of the pixels if whole."""
-    keep: tuple[str, ...] = ()
+    of the pixels if whole.
+
+    Each overview is written to the shared folder as soon as it is planned.  A plan of all levels would
+    make every level from the pixels again, since their filters keep Spark from sharing the exchange.
+    """
     now = pixels.select("band", "r", "c", "v")
-    if HALO[kernel] == 0 and levels:
-        keep = ("up", "left")
-        now = ancestors(now, levels).repartition("up", "left")
     out = now.select(F.lit(0).alias("level"), "band", "r", "c", "v")
     for level in range(1, levels + 1):
-        now = overview(now, kernel, halved(height, level - 1), halved(width, level - 1), rounded, keep)
+        now = written(overview(now, kernel, halved(height, level - 1), halved(width, level - 1), rounded), f"overview{level}")
         out = out.unionByName(now.select(F.lit(level).alias("level"), "band", "r", "c", "v"))
     return out
