@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import halved, tile_count
 from ..functions.kernels import HALO, TAPS
+from ..session import bounded_batches, written
 
 TILES = "level int, tile_row int, tile_col int, height int, width int, payload binary, mask binary"
 #: A piece of a level on its way to a tile of the next: where it goes, where it lies (from the image's corner).
@@ -214,6 +215,7 @@ def to_pixels(raster: Raster, only_valid: bool = True) -> DataFrame:
     """band, r, c, v (double for floats, else bigint) and valid of every pixel that a tile holds."""
     kind = "double" if np.dtype(raster.dtype).kind == "f" else "long"
     schema = f"band int, r int, c int, v {kind}, valid boolean"
+    bounded_batches(raster.tiles.sparkSession)
     b, bands, dtype, nodata = raster.blocksize, raster.bands, raster.dtype, raster.nodata
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +239,7 @@ def _pieces(raster: Raster, kernel: str) -> DataFrame:
     rows, cols = tile_count(high, b), tile_count(wide, b)
     halo = HALO[kernel]
     fill = _filler(nodata, dtype)
+    bounded_batches(raster.tiles.sparkSession)
 
     def halves(row: dict) -> Iterator[tuple]:
         h, w = row["height"], row["width"]
@@ -330,6 +333,7 @@ def band_stats(raster: Raster) -> DataFrame:
     """
     bands, dtype, nodata, pixels = raster.bands, raster.dtype, raster.nodata, raster.height * raster.width
     whole = np.dtype(dtype).kind in "iu" and np.dtype(dtype).itemsize <= 4
+    bounded_batches(raster.tiles.sparkSession)
     schema = "band int, n long, most double, least double, total string, square string" if whole else "band int, n long, most double, least double, mean double, spread double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +367,7 @@ def band_stats(raster: Raster) -> DataFrame:
         by = parts.groupBy("band").agg(F.max("most").alias("max"), (total.cast("double") / n).alias("mean"), F.min("least").alias("min"), (F.sqrt(spread.cast("double")) / n).alias("std"), n.alias("n"))
     else:
         centre = parts.groupBy("band").agg((F.sum(F.col("n") * F.col("mean")) / n).alias("centre"))
+        parts = written(parts, "partials")  # used twice, and a row a tile and band
         # A row a band.
         off = parts.join(F.broadcast(centre), "band").withColumn("off", F.col("spread") + F.col("n") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre")))
         by = off.groupBy("band").agg(F.max("most").alias("max"), F.first("centre").alias("mean"), F.min("least").alias("min"), F.sqrt(F.sum("off") / n).alias("std"), n.alias("n"))

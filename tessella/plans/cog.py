@@ -24,7 +24,7 @@ from ..functions.options import CogOptions
 from ..operators.layout import MIN_PART, TRAILER, offsets, part_size, part_slices
 from ..operators.pixels import STATISTICS
 from ..operators.tiles import TILES, Raster, _filler, band_stats, batch_of, overview, unpacked
-from ..session import written
+from ..session import bounded_batches, written
 from ..sources.codecs import differenced, encoded
 from ..sources.multipart import Store, resolved
 from ..sources.sink import PARTS, write_parts
@@ -51,6 +51,7 @@ def blocks(raster: Raster, options: CogOptions) -> DataFrame:
     codec, predictor, level = (options.compress, options.predictor, options.level) if raster.level == 0 else (options.overview_compress, options.overview_predictor, options.overview_level)
     fill, sparse = _filler(raster.nodata, dtype), options.sparse_ok
     kind = np.dtype(dtype).newbyteorder("<")
+    bounded_batches(raster.tiles.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

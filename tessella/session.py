@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, which holds one at a time (a larger tile goes alone).
+BATCH_BYTES = 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the plans that this session makes from now on: tiles are large, so a
+    number of rows alone is no bound."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
