@@ -37,8 +37,8 @@ MEMO_VALUES = 100_000
 HINT = re.compile("[0-9@]")
 FOUND = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][\w.%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
-    r"|(?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?(?P<hex>[0-9A-Fa-f]{16,})(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"|(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?(?P<hex>[0-9A-Fa-f]{16,})(?![0-9A-Za-z]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\d-]))"

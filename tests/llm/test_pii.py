@@ -82,6 +82,13 @@ def test_values_in_texts():
     assert other.split("from ")[1] in made
 
 
+def test_neighbours_and_case():
+    text = '+1 (826) 555-4081 190.137.223.204, TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'
+    made, spans = NAMES.text(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204"), ("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")]
+    assert made.split('"')[1].isupper() or made.split('"')[1].isdigit()
+
+
 def test_odd_tables(spark):
     rows = pii_feistel.pseudonymise(odd_docs(spark), b"k").collect()
     assert sorted((str(r.doc_id), r.text or "", r.n_private) for r in rows) == sorted((str(d), t or "", 0) for d, t, *_ in ODD)
