@@ -6,12 +6,10 @@ Parquet and read again as the next one's docs.  All but the last return the colu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe_codec, decontam, exact_dedup, near_dedup, quality_knn
-from tessella.llm.common import shared_dir, table
+from tessella.llm.common import shared_path, table
 from tessella.llm.queries import tokenizer
 
 
@@ -49,7 +47,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents to ids."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
