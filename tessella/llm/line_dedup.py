@@ -1,12 +1,15 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared by their sets of seven-character shingles.  A signature of 48 minhashes makes 16
-bands of three: two lines of similarity 0.8 share a band with probability 0.99999.  Candidates are
-confirmed by their exact Jaccard similarity, and of each component of confirmed links the line that
-comes first (by document, then place) stays, once in the whole corpus.
+Lines are compared by their sets of seven-character shingles.  A signature of 30 minhashes makes ten
+bands of three: two lines of similarity 0.8 share a band with probability 0.9992, of 0.9 with 1 - 2e-6.
+Candidates are confirmed by their exact Jaccard similarity, and of each component of confirmed links
+(distributed star contraction) the line that comes first (by document, then place) stays, once in the
+whole corpus.
 
 Equal lines are one class before anything else, so a line that millions of documents have is one row
 from there on.  Bands of many classes are treated as the regions of the near-duplicate forest are.
+Lines travel as digests and signatures; the text of a line moves only if a candidate pair needs it, and
+the texts of documents don't move at all unless the lines that go are too many to broadcast.
 
 Defined cases: lines are compared after trimming spaces, tabs and carriage returns; blank lines always
 stay and count as lines; a null text has no line and stays null, an empty one has one blank line; a
@@ -20,99 +23,179 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, stash
-from .near_dedup import _C, MAX_BROADCAST_WORDS, Forest, roots, signature
+from .common import bounded_batches, fresh, named, stash, text_of
+from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, roots
 
 SHINGLE, PERCENT = 7, 80
-LINES = Forest(16, 3, (3, 6, 12))
-
-
-class CharacterShingler:
-    """Sets of character shingles as sorted arrays of 64-bit hashes."""
-
-    def __call__(self, line: str) -> np.ndarray:
-        x = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        size = min(SHINGLE, len(x))
-        h = np.full(max(0, len(x) - size + 1), size, np.uint64)
-        for k in range(size):
-            h += (x[k : len(x) - size + 1 + k] + np.uint64(1)) * _C[16 + k]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        return np.unique(h)
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, at (the line's place), line (trimmed) and the two halves of its digest; no blank lines."""
-    text = F.col("text").cast("string")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "at", F.expr("trim(BOTH ' \t\r' FROM line)").alias("line")).where("line <> ''")
-    return lines.select("doc_id", "at", "line", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
-
-
-def _signed(classes: DataFrame) -> DataFrame:
-    """rep, k1, k2 and sig of classes that have a line."""
+LINES = Forest(10, 3, (3, 6, 9, 12), (1, 3, 3, 1))
+#: Characters whose shingles are hashed at once, so that the arrays stay in a core's cache.
+STEP = 1 << 16
+TRIM = " \t\r"
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def window_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the windows of SHINGLE characters, from hashes of windows of two and of four."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = x[:-1] * _M1 + x[1:]
+    four = two[:-2] * _M2 + two[2:]
+    out = four[:-3] * _M3 + four[3:]
+    out ^= out >> np.uint64(32)
+    out *= _M1
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def signatures(lines: list[str], hashes: int = LINES.hashes) -> np.ndarray:
+    """A row for each line: 16 bits of each of its minhashes.
+
+    The windows of all lines are hashed together; those that reach over a line's end are left out of
+    its minimum.  A shorter line than a window is filled up with NULs, which makes it one window.
+    """
+    if not lines:
+        return np.zeros((0, hashes), "<u2")
+    whole = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
+    length = np.fromiter(map(len, whole), np.int64, len(whole))
+    x = (window_hashes("".join(whole)) >> np.uint64(32)).astype(np.uint32)
+    start = np.cumsum(length) - length
+    # Pairs of places: where a line's windows begin, and where those begin that it shares with the next line.
+    at = np.stack([start, start + length - SHINGLE + 1], 1).ravel()[:-1]
+    low = np.empty((hashes, len(lines)), np.uint32)
+    y = np.empty_like(x)
+    for k in range(hashes):
+        np.multiply(x, _A[k], out=y)
+        low[k] = np.minimum.reduceat(y, at)[::2]
+    low ^= low >> 15
+    low *= np.uint32(0x2C1B3C6D)
+    low ^= low >> 12
+    return low.T.astype("<u2", order="C")
+
+
+def shingles(line: str) -> frozenset[str]:
+    """The set of a line's shingles; a shorter line is one."""
+    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+
+
+def _share(x: frozenset[str], y: frozenset[str], percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class LineSets:
+    """Sets of lines, for the near-duplicate regions."""
+
+    def __call__(self, line: str) -> frozenset[str]:
+        return shingles(line)
+
+    linked = staticmethod(_share)
+
+
+def _cut(text: str) -> tuple[list[int], list[str]]:
+    """The places and trimmed texts of the lines that aren't blank."""
+    lines = [line.strip(TRIM) for line in text.split("\n")]
+    places = [i for i, line in enumerate(lines) if line]
+    return places, [lines[i] for i in places]
+
+
+def _places(docs: DataFrame, signed: bool, text: bool = False) -> DataFrame:
+    """doc_id, at, k1 and k2 (the line's digest) of every line, with its signature or its text if asked for."""
+    names = ["doc_id", "at", "k1", "k2", *(["sig"] if signed else []), *(["line"] if text else [])]
+
+    def made(ids: list, places: list, lines: list[str]) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines), np.int64).reshape(-1, 2)
+        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+        if signed:
+            sig = signatures(lines)
+            width = sig.itemsize * sig.shape[1]
+            columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(np.arange(0, width * (len(lines) + 1), width, np.int32)), pa.py_buffer(sig)]))
+        if text:
+            columns.append(pa.array(lines, pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = CharacterShingler()
         for batch in batches:
-            sigs = [signature(shingles(line.as_py()), LINES.hashes) for line in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sigs, pa.binary())], ["doc_id", "at", "k1", "k2", "n", "sig"])
-
-    return classes.select("line", "doc_id", "at", "k1", "k2", "n").mapInArrow(run, "doc_id long, at int, k1 long, k2 long, n long, sig binary")
+            ids, places, lines, chars = [], [], [], 0
+            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, own = _cut(cell.as_py())
+                for i in range(0, len(own), 1000):  # a long document's lines in steps too
+                    ids += [doc] * len(own[i : i + 1000])
+                    places += at[i : i + 1000]
+                    lines += own[i : i + 1000]
+                    chars += sum(map(len, own[i : i + 1000]))
+                    if chars > STEP:
+                        yield made(ids, places, lines)
+                        ids, places, lines, chars = [], [], [], 0
+            if lines:
+                yield made(ids, places, lines)
+
+    schema = "doc_id long, at int, k1 long, k2 long" + ", sig binary" * signed + ", line string" * text
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+
+
+def _bloom(rows: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """Those rows whose columns may be in keys: a Bloom filter, where its checked size allows a broadcast."""
+    words = max(1, keys.count() // 3)
+    if words > MAX_BROADCAST_WORDS:
+        return rows
+    word, bit = F.pmod(F.xxhash64(*columns, F.lit(3)), F.lit(words)), F.pmod(F.xxhash64(*columns, F.lit(4)), F.lit(64)).cast("int")
+    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).select(*rows.columns)
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id and places (sorted) of the lines that go."""
     bounded_batches(docs.sparkSession)
-    lines = _lines(docs)
-    first = F.min(F.struct("doc_id", "at", "line"))
-    classes = lines.groupBy("k1", "k2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", "first.*")
-    classes = classes.withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = stash(_signed(classes))
-    named = stash(signed.withColumn("rep", F.monotonically_increasing_id()))
-    reps = named.select("rep", "sig")
+    first = F.min(F.struct("doc_id", "at"))
+    classes = _places(docs, signed=True).groupBy("k1", "k2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
+    names = stash(classes.select("k1", "k2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), F.monotonically_increasing_id().alias("rep"), "sig"))
 
     def texts(wanted: DataFrame) -> DataFrame:
-        keys = named.join(wanted, "rep", "left_semi").select("rep", "doc_id", "at")
-        return _texts(docs, keys)
-
-    linked = roots(reps, texts, LINES, CharacterShingler, PERCENT)
-    grouped = named.select("rep", "k1", "k2", "n", "doc_id", "at").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "rep"))
-    keeper = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows")).where("rows > 1")
-    told = stash(grouped.select("root", "k1", "k2").join(keeper, "root").select("k1", "k2", "keep"))
-    lines = lines.select("doc_id", "at", "k1", "k2").join(told, ["k1", "k2"])
-    gone = lines.where(~F.struct(F.col("doc_id").cast("long").alias("doc_id"), "at").eqNullSafe(F.col("keep")))
+        keys = stash(_bloom(names.select("rep", "doc_id", "at", "k1", "k2"), ["rep"], wanted).join(wanted, "rep", "left_semi"))
+        some = _bloom(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], keys)
+        lines = _bloom(_places(some, signed=False, text=True), ["k1", "k2"], keys)
+        by = ["at", "k1", "k2"]
+        lines = lines.withColumnRenamed("doc_id", "d")
+        return lines.join(keys, by).where(F.col("d").eqNullSafe(F.col("doc_id"))).select("rep", F.col("line").alias("text"))
+
+    linked = roots(names.select("rep", "sig"), texts, LINES, LineSets, PERCENT, carry=True)
+    told = _keepers(names.select("rep", "k1", "k2", "n", "doc_id", "at"), linked)
+    lines = _bloom(_places(docs, signed=False), ["k1", "k2"], told.select("k1", "k2")).join(told, ["k1", "k2"])
+    gone = lines.where(~F.struct("doc_id", "at").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"))
 
 
-def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """rep and text (the line) of the wanted places.  Only documents that a Bloom filter of the ids lets through are cut into lines again."""
-    words = max(1, keys.count() // 3)
-    at, bit = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(words)), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(64)).cast("int")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if words <= MAX_BROADCAST_WORDS:
-        bits = keys.select(at.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-        source = source.withColumn("word", at).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).select("doc_id", "text")
-    lines = _lines(source).select("doc_id", "at", "line").withColumnsRenamed({"doc_id": "d", "at": "a"})
-    found = keys.join(lines, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("a") == F.col("at")))
-    return found.select("rep", F.col("line").alias("text")).dropDuplicates(["rep"])
+def _keepers(names: DataFrame, linked: DataFrame) -> DataFrame:
+    """k1, k2 and keep (doc_id, at) of each class that isn't alone with one line."""
+    # Only linked classes and their roots need another aggregation.
+    roots_ = linked.select(F.col("root").alias("rep")).distinct().select("rep", F.col("rep").alias("root"))
+    in_groups = stash(linked.select(F.col("node").alias("rep"), "root").unionByName(roots_))
+    grouped = stash(_bloom(names, ["rep"], in_groups).join(in_groups, "rep").select("rep", "root", "k1", "k2", "doc_id", "at"))
+    # Written, so that the join has an exchange on either side and Spark can split a large group.
+    keep = stash(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("keep")))
+    several = grouped.join(keep, "root").select("k1", "k2", "keep")
+    alone = names.where("n > 1").join(in_groups, "rep", "left_anti").select("k1", "k2", F.struct("doc_id", "at").alias("keep"))
+    return stash(several.unionByName(alone))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines that stay as text, n_lines and n_kept."""
     key, places = fresh(docs, "key"), fresh(docs, "places")
     gone = stash(dropped(docs.select("doc_id", "text"))).select(F.col("doc_id").alias(key), F.col("places").alias(places))
+    # Places of lines: four bytes each, and a row a document that loses lines.
+    size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_WORDS:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    left = F.when(F.col(places).isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~F.array_contains(F.col(places), i)))
+    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col(places), i))
+    some = F.col(places).isNotNull()
     kept = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_kept")]
     count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
-    return joined.select(*kept, F.array_join(left, "\n").alias("text"), count(lines).alias("n_lines"), count(left).alias("n_kept"))
+    return joined.select(*named(kept), F.when(some, F.array_join(left, "\n")).otherwise(F.col("text").cast("string")).alias("text"), count(lines).alias("n_lines"), F.when(some, count(left)).otherwise(count(lines)).alias("n_kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:

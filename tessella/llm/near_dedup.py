@@ -3,15 +3,19 @@
 Every text has a signature of 256 minhashes; each of 16 trees orders texts by 16 of them.  Texts whose
 longest common prefix in some tree has at least three hashes are neighbours, i.e. they stand in one
 *region* of that order; a region with more than REGION texts is cut at the next depth, and only such a
-region is (adaptive depth).
+region is (adaptive depth).  There the order branches: the region is cut by several runs of further
+hashes, and neighbours in one of them are enough, since a longer prefix alone would part texts that
+are just similar enough.
 
-Equal shingle sets are one class first, so copies cost nothing from there on.  A region of few classes
-gives pairs, which are confirmed on the full sets of both texts.  In a larger region the texts
+Equal shingle sets are one class first, so copies cost nothing from there on.  Two texts that are
+neighbours in several trees are compared in the first of them.  A region of few classes gives pairs,
+which are confirmed on the full sets of both texts.  In a larger region the texts
 themselves come together: pairs are taken by falling estimate, a pair already connected is skipped,
 the others are confirmed on their full sets, and only the confirmed links leave, fewer than texts.
 Components of all confirmed links are found by star contraction.
 
-Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8.
+Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8.  Where all
+their regions are cut once it is 0.99994 at 0.8, twice 0.9991.
 Pairs whose estimate is more than four standard deviations below the threshold aren't confirmed.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay; fewer
@@ -22,7 +26,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sized
 from dataclasses import dataclass
 from functools import partial
 
@@ -40,11 +44,13 @@ from .exact_dedup import MAX_BROADCAST_WORDS
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees, hashes from the start of one tree to that of the next, and the prefix lengths at which regions are made."""
+    """Trees, hashes from the start of one tree to that of the next, the prefix lengths at which regions are
+    made, and in how many ways a region is cut there."""
 
     trees: int
     step: int
     depths: tuple[int, ...]
+    branches: tuple[int, ...]
 
     @property
     def hashes(self) -> int:
@@ -55,11 +61,13 @@ class Forest:
         return similarity - 4 * (similarity * (1 - similarity) / self.hashes) ** 0.5
 
 
-DOCUMENTS = Forest(16, 16, (3, 6, 10, 16))
+DOCUMENTS = Forest(16, 16, (3, 6, 9, 16), (1, 3, 3, 1))
 #: Most classes of a region that are compared in one task, and of one that gives pairs.
 REGION, FEW = 2000, 6
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 500_000
+#: Words whose hashes a worker remembers, and shingles of the sets of a region that it holds.
+MEMO_WORDS, HELD_SHINGLES = 500_000, 1 << 20
+#: Pairs whose signatures are compared at once.
+PAIRS_AT_ONCE = 1 << 15
 
 LOWER = bytes((b | 32) if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20)
@@ -101,9 +109,34 @@ class Shingler:
         x ^= x >> np.uint64(29)
         return np.unique(x)
 
+    @staticmethod
+    def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+        """Whether 100 * intersection >= percent * union."""
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class Sets:
+    """The sets of a region's texts, made when they are asked for; of large ones only the latest stay."""
+
+    def __init__(self, texts: pa.ChunkedArray, shingles) -> None:
+        self.texts, self.shingles = texts, shingles
+        self.made: dict[int, Sized] = {}
+        self.size = 0
+
+    def __getitem__(self, i: int) -> Sized:
+        found = self.made.get(i)
+        if found is None:
+            found = self.shingles(self.texts[i].as_py())
+            self.size += len(found)
+            while self.size > HELD_SHINGLES and self.made:
+                self.size -= len(self.made.pop(next(iter(self.made))))
+            self.made[i] = found
+        return found
+
 
 def signature(shingles: np.ndarray, hashes: int = 256) -> bytes:
-    """The low bytes of all minhashes, then their next bytes."""
+    """16 bits of each minhash."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     a, b = _A[:hashes], _B[:hashes, None]
     low = np.full(hashes, 0xFFFFFFFF, np.uint32)
@@ -114,7 +147,7 @@ def signature(shingles: np.ndarray, hashes: int = 256) -> bytes:
     low ^= low >> 15
     low = low * np.uint32(0x2C1B3C6D)
     low ^= low >> 12
-    return low.astype(np.uint8).tobytes() + (low >> 8).astype(np.uint8).tobytes()
+    return low.astype("<u2").tobytes()
 
 
 FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
@@ -141,13 +174,15 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, FEATURES)
 
 
-def _region(forest: Forest, tree: Column, depth: int) -> Column:
-    """The name of the region of a tree's prefix; a prefix that goes beyond the last hash goes on with the first."""
-    half = F.lit(forest.hashes)
-    low = F.substring(F.col("sig"), 1, forest.hashes)
-    high = F.substring(F.col("sig"), half + 1, half)
-    at = tree * forest.step + 1
-    return F.xxhash64(tree, F.lit(depth), F.substring(F.concat(low, low), at, F.lit(depth)), F.substring(F.concat(high, high), at, F.lit(depth)))
+def _region(forest: Forest, above: Column, tree: Column, branch: Column, start: int, stop: int) -> Column:
+    """The name of the region of a prefix that goes on from above by the hashes start to stop of the tree.
+
+    Other branches take them from other trees.  What goes beyond the last hash goes on with the first.
+    """
+    at = (tree * forest.step + start + branch * (3 * forest.step)) % forest.hashes
+    # The first hashes of a tree never go beyond the last one.
+    sig = F.concat("sig", "sig") if start else F.col("sig")
+    return F.xxhash64(above, tree, branch, F.substring(sig, 2 * at + 1, F.lit(2 * (stop - start))))
 
 
 def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -164,39 +199,57 @@ def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return keys.join(sizes, "region")
 
 
-def regions(reps: DataFrame, forest: Forest = DOCUMENTS) -> DataFrame:
-    """(region, members, rep) of all regions of two classes or more.  reps: rep and sig."""
-    found = None
-    left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
-    for level, depth in enumerate(forest.depths):
-        keyed = left.withColumn("region", _region(forest, F.col("tree"), depth))
+def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) -> DataFrame:
+    """(region, members, rep, tree, deep) of all regions of two classes or more.  reps: rep and sig.
+
+    tree is that of an uncut region, else -1; deep has a bit for each tree in which the text's region was
+    cut, so that a pair can't rely on meeting there.  carry: with the sig too, which pays if it is short.
+    """
+    found = deep = None
+    own = ["rep", "sig"] if carry else ["rep"]
+    left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), F.lit(0).cast("long").alias("region"))
+    for level, (start, stop, branches) in enumerate(zip((0, *forest.depths), forest.depths, forest.branches, strict=False)):
+        branch = F.explode(F.sequence(F.lit(0), F.lit(branches - 1))) if branches > 1 else F.lit(0)
+        keyed = left.withColumn("branch", branch).withColumn("region", _region(forest, F.col("region"), F.col("tree"), F.col("branch"), start, stop)).drop("branch")
         sizes = stash(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-        small = _shared(keyed.select("rep", "region"), sizes.where(F.col("members") <= REGION)).select("region", "members", "rep")
+        tree = F.lit(-1) if level else F.col("tree")
+        small = _shared(keyed.select(*own, "region", tree.alias("tree")), sizes.where(F.col("members") <= REGION)).select("region", "members", "tree", *own)
         found = small if found is None else found.unionByName(small)
         large = sizes.where(F.col("members") > REGION)
         if large.isEmpty():
-            return found
+            return _with_deep(found, deep)
         left = stash(_shared(keyed, large).select("rep", "sig", "tree", "region", "members"))
+        if deep is None:
+            deep = left.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
         if level + 1 < len(forest.depths):
-            left = left.drop("region", "members")
+            left = left.drop("members")
     # Texts that agree in all hashes of a tree: cut into parts by the id; the first of each part also
     # meet in regions of their own.
     while True:
-        parts = left.withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / (REGION // 2)))))
-        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.first("region").alias("whole"))
-        found = found.unionByName(parts.join(sizes, "part").select(F.col("part").alias("region"), F.col("n").alias("members"), "rep"))
-        heads = sizes.select(F.xxhash64("whole", F.lit(1)).alias("region"), F.col("head").alias("rep"))
+        parts = left.select("rep", *(["sig"] if carry else []), "region", "members").withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / (REGION // 2)))))
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.first("region").alias("whole"), *([F.min_by("sig", "rep").alias("sig")] if carry else []))
+        found = found.unionByName(parts.join(sizes.select("part", "n"), "part").select(F.col("part").alias("region"), F.col("n").alias("members"), F.lit(-1).alias("tree"), *own))
+        heads = sizes.select(F.xxhash64("whole", F.lit(1)).alias("region"), F.col("head").alias("rep"), *own[1:])
         count = heads.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
         heads = stash(heads.join(count, "region"))
-        found = found.unionByName(heads.where(F.col("members") <= REGION).select("region", "members", "rep"))
+        found = found.unionByName(heads.where(F.col("members") <= REGION).select("region", "members", F.lit(-1).alias("tree"), *own))
         left = heads.where(F.col("members") > REGION)
         if left.isEmpty():
-            return found
+            return _with_deep(found, deep)
 
 
-def estimates(sigs: np.ndarray, i: int) -> np.ndarray:
-    """The share of equal hashes of text i and each later one."""
-    return (sigs[i + 1 :] == sigs[i]).mean(1)
+def _with_deep(found: DataFrame, deep: DataFrame | None) -> DataFrame:
+    if deep is None:
+        return found.withColumn("deep", F.lit(0).cast("long"))
+    return found.join(deep, "rep", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long")))
+
+
+def met_before(equal: np.ndarray, tree: np.ndarray, deep: np.ndarray, forest: Forest) -> np.ndarray:
+    """Whether pairs share an uncut region of an earlier tree.  equal: pairs x hashes."""
+    numbers = np.arange(forest.trees)
+    shared = equal.reshape(len(equal), forest.trees, forest.step)[:, :, : forest.depths[0]].all(2)
+    earlier = (numbers < tree[:, None]) & (deep[:, None] >> numbers & 1 == 0)
+    return (shared & earlier).any(1)
 
 
 def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -216,55 +269,84 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def _sigs(column: pa.ChunkedArray, hashes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(s.as_py()[:hashes] for s in column), np.uint8).reshape(len(column), hashes)
+def _sigs(column: pa.Array | pa.ChunkedArray, hashes: int) -> np.ndarray:
+    """Signatures as rows of 16-bit hashes."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), hashes)
 
 
 def _small(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
-    """Pairs of the small regions whose estimate is high enough.  members: region, rep, sig."""
+    """Pairs of the small regions whose estimate is high enough.  members: region, rep, tree, deep, sig."""
     kind = {"a": pa.int64(), "b": pa.int64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = forest.least_estimate(percent / 100)
-        a: list[int] = []
-        b: list[int] = []
+        held = None
+        for batch in (x for x in batches if x.num_rows):
+            rows = (*(batch.column(k).to_numpy() for k in range(4)), _sigs(batch.column(4), forest.hashes))
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            # All rows of the batch at once: each with those that follow it in its region.
+            region, ids, tree, deep, sigs = rows
+            pairs = [np.zeros((0, 2), np.int64)]
+            for d in range(1, min(FEW, len(region))):
+                i = np.flatnonzero(region[:-d] == region[d:])
+                i = i[i + d >= (0 if held is None else len(held[0]))]
+                if len(i):
+                    equal = sigs[i] == sigs[i + d]
+                    i = i[(equal.mean(1) >= least) & ~met_before(equal, tree[i], deep[i], forest)]
+                pairs.append(np.stack([ids[i], ids[i + d]], 1))
+            found = np.sort(np.concatenate(pairs), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=pa.schema(kind))
+            # The next batch may go on with the last region.
+            held = tuple(x[-FEW:] for x in rows)
+
+    return members.select("region", "rep", "tree", "deep", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+
+
+def region_pairs(tree: int, deep: np.ndarray, sigs: np.ndarray, forest: Forest, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a region that are to be compared in it: their places, and their estimates."""
+    n = len(sigs)
+    step = max(1, PAIRS_AT_ONCE // max(1, n))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, n - 1, step):
+        equal = sigs[a : min(n - 1, a + step), None] == sigs[None, a + 1 :]
+        e = equal.mean(2)
+        i, j = np.nonzero(e >= least)
+        i, j = i[j >= i], j[j >= i]
+        if tree > 0 and len(i):
+            new = ~met_before(equal[i, j], np.full(len(i), tree), deep[a + i], forest)
+            i, j = i[new], j[new]
+        found.append((a + i, a + 1 + j, e[i, j]))
+    first, second, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
+    return first, second, estimate
+
+
+def _needed(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
+    """The rows of the larger regions that have a pair to be compared there.  members: region, rep, tree, deep, sig."""
+    names = ["region", "rep", "tree", "deep", "sig"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, held, size = forest.least_estimate(percent / 100), [], 0
         for group in grouped(batches):
-            ids = group.column(1).to_pylist()
-            sigs = _sigs(group.column(2), forest.hashes)
-            for i in range(len(ids) - 1):
-                for j in np.flatnonzero(estimates(sigs, i) >= least).tolist():
-                    x, y = ids[i], ids[i + 1 + j]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=pa.schema(kind))
-                a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=pa.schema(kind))
-
-    return members.select("region", "rep", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
-
-
-def region_links(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], least: float, percent: int) -> Iterator[tuple[int, int]]:
-    """Confirmed links that connect whatever all confirmed links would connect, fewer than texts."""
-    n = len(ids)
-    first, second, estimate = [], [], []
-    for i in range(n - 1):
-        e = estimates(sigs, i)
-        j = np.flatnonzero(e >= least)
-        first.append(np.full(len(j), i))
-        second.append(j + i + 1)
-        estimate.append(e[j])
-    if not first:
-        return
-    i, j = np.concatenate(first), np.concatenate(second)
-    order = np.argsort(-np.concatenate(estimate), kind="stable")
-    parent = np.arange(n)
+            i, j, _ = region_pairs(group.column(2)[0].as_py(), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes), forest, least)
+            if len(i):
+                held.append(group.take(np.unique(np.concatenate([i, j]))))
+                size += len(held[-1])
+            if size > 5000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, rep long, tree int, deep long, sig binary")
+
+
+def region_links(ids: list[int], tree: int, deep: np.ndarray, sigs: np.ndarray, sets: Sets, forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
+    """Confirmed links that connect whatever all confirmed links of the region's pairs would connect, fewer than texts."""
+    linked = sets.shingles.linked
+    i, j, estimate = region_pairs(tree, deep, sigs, forest, forest.least_estimate(percent / 100))
+    order = np.argsort(-estimate, kind="stable")
+    parent = np.arange(len(ids))
     while len(order):
         # What is connected already needs no confirmation; the rest goes on in blocks.
         x, y = i[order], j[order]
@@ -278,20 +360,27 @@ def region_links(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], least
                 yield ids[x], ids[y]
 
 
-def _large(members: DataFrame, forest: Forest, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
-    """Confirmed links of the larger regions.  members: region, rep, sig, text."""
+def _large(members: DataFrame, forest: Forest, shingler: Callable, percent: int) -> DataFrame:
+    """Confirmed links of the larger regions.  members: region, rep, tree, deep, sig, text."""
+
+    def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, least = shingler(), forest.least_estimate(percent / 100)
+        shingles = shingler()
+        links: list[tuple[int, int]] = []
         for group in grouped(batches):
-            sets = [shingles(t.as_py()) for t in group.column(3)]
-            links = list(region_links(group.column(1).to_pylist(), _sigs(group.column(2), forest.hashes), sets, least, percent))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+            sets = Sets(group.column(5), shingles)
+            links += region_links(group.column(1).to_pylist(), group.column(2)[0].as_py(), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes), sets, forest, percent)
+            if len(links) > 10_000:
+                yield made(links)
+                links = []
+        yield made(links)
 
-    return members.select("region", "rep", "sig", "text").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return members.select("region", "rep", "tree", "deep", "sig", "text").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable, percent: int) -> DataFrame:
     """The pairs that are links on their full sets.  texts: rep and text."""
     one = pairs.join(texts.withColumnsRenamed({"rep": "a", "text": "ta"}), "a")
     two = one.join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
@@ -299,23 +388,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable[[], Callab
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler()
         for batch in batches:
-            ok = [linked(shingles(x.as_py()), shingles(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ok, known, second = [], None, None
+            # Pairs come in the order of b.
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != known:
+                    known, second = b, shingles(y.as_py())
+                ok.append(shingles.linked(shingles(x.as_py()), second, percent))
             yield pa.RecordBatch.from_arrays(list(batch.select([0, 1]).filter(pa.array(ok, pa.bool_())).columns), ["a", "b"])
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable[[], Callable[[str], np.ndarray]], percent: int) -> DataFrame:
+def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable, percent: int, carry: bool = False) -> DataFrame:
     """node and root of every rep that is linked to a smaller one.
 
-    reps: rep and sig.  texts: makes rep and text of a table of wanted reps.
+    reps: rep and sig.  texts: makes rep and text of a table of wanted reps.  shingler: makes what turns a
+    text into a set (a call) and tells whether two sets are linked.  carry: see regions.
     """
-    members = stash(regions(reps, forest))
+    members = stash(regions(reps, forest, carry))
+    signed = (lambda x: x) if carry else (lambda x: x.join(reps, "rep"))
     few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
-    pairs = stash(_small(few.join(reps, "rep"), forest, percent))
-    wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(many.select("rep")).distinct())
+    pairs = stash(_small(signed(few), forest, percent))
+    needed = stash(_needed(signed(many), forest, percent))
+    wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct())
     full = stash(texts(wanted))
-    links = _confirmed(pairs, full, shingler, percent).unionByName(_large(many.join(reps, "rep").join(full, "rep"), forest, shingler, percent))
+    links = _confirmed(pairs, full, shingler, percent).unionByName(_large(needed.join(full, "rep"), forest, shingler, percent))
     return components(links)
 
 
