@@ -138,18 +138,27 @@ def tapped(data: np.ndarray, valid: np.ndarray, kernel: str, dtype: str, halo: i
     # Whole numbers of up to 16 bits keep exact sums in 64 bits with any kernel here.
     exact = data.dtype.kind in "iu" and data.dtype.itemsize <= 2
     kind = np.int64 if exact else np.float64
-    value, weight = np.where(valid, data, 0).astype(kind), valid.astype(np.int64)
+    value = np.where(valid, data, 0).astype(kind)
 
     def along(x: np.ndarray, axis: int, n: int) -> np.ndarray:
-        out = 0
+        out = part = None
         for i, w in enumerate(weights):
             at = [slice(None)] * x.ndim
             at[axis] = slice(halo + first + i, halo + first + i + 2 * n, 2)
-            out = out + w * x[tuple(at)]
+            if out is None:
+                out = w * x[tuple(at)]
+                part = np.empty_like(out)
+            else:
+                out += np.multiply(x[tuple(at)], w, out=part)
         return out
 
     num = along(along(value, -1, width), -2, height)
-    den = along(along(weight, -1, width), -2, height)
+    rows, cols = valid.any((0, 2)), valid.any((0, 1))
+    if valid.sum() == len(valid) * rows.sum() * cols.sum():
+        # No holes: the weights of rows and columns tell those of all pixels.
+        den = np.multiply.outer(along(rows.astype(np.int64), 0, height), along(cols.astype(np.int64), 0, width))[None]
+    else:
+        den = along(along(valid.astype(np.int64), -1, width), -2, height)
     own = _quarters(valid[..., halo : halo + 2 * height, halo : halo + 2 * width]).any(-1) & (den != 0)
     return fitted(num / np.where(den == 0, 1, den), dtype), own
 
