@@ -75,12 +75,14 @@ def signatures(lines: list[str], hashes: int = LINES.hashes) -> np.ndarray:
     return low.T.astype("<u2", order="C")
 
 
-def shingles(line: str) -> frozenset[str]:
+def shingles(line: str) -> set[str]:
     """The set of a line's shingles; a shorter line is one."""
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _share(x: frozenset[str], y: frozenset[str], percent: int) -> bool:
+def _share(x: set[str], y: set[str], percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False  # no intersection is larger than the one, no union smaller than the other
     both = len(x & y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -88,7 +90,7 @@ def _share(x: frozenset[str], y: frozenset[str], percent: int) -> bool:
 class LineSets:
     """Sets of lines, for the near-duplicate regions."""
 
-    def __call__(self, line: str) -> frozenset[str]:
+    def __call__(self, line: str) -> set[str]:
         return shingles(line)
 
     linked = staticmethod(_share)
