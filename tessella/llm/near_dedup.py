@@ -5,7 +5,8 @@ longest common prefix in some tree has at least three hashes are neighbours, i.e
 *region* of that order; a region with more than REGION texts is cut at the next depth, and only such a
 region is (adaptive depth).  There the order branches: the region is cut by several runs of further
 hashes, and neighbours in one of them are enough, since a longer prefix alone would part texts that
-are just similar enough.
+are just similar enough.  Cutting only finds what is quickly connected: all pairs of a cut region that
+are not connected then are compared, part by part in tasks of their own, so no pair is lost by it.
 
 Equal shingle sets are one class first, so copies cost nothing from there on.  Two texts that are
 neighbours in several trees are compared in the first of them.  A region of few classes gives pairs,
@@ -14,8 +15,9 @@ themselves come together: pairs are taken by falling estimate, a pair already co
 the others are confirmed on their full sets, and only the confirmed links leave, fewer than texts.
 Components of all confirmed links are found by star contraction.
 
-Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8.  Where all
-their regions are cut once it is 0.99994 at 0.8, twice 0.9991.
+Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8, whatever
+the size of their regions.  The work in a region above REGION grows with the square of those of its texts
+that its largest components leave out.
 Pairs whose estimate is more than four standard deviations below the threshold aren't confirmed.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay; fewer
@@ -201,13 +203,14 @@ def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return keys.join(sizes, "region")
 
 
-def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) -> DataFrame:
-    """(region, members, rep, tree, deep) of all regions of two classes or more.  reps: rep and sig.
+def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(region, members, rep, tree, deep) of all regions of two classes or more, and (region, rep, sig) of
+    those that were cut, whose pairs may not all meet in the first table.  reps: rep and sig.
 
     tree is that of an uncut region, else -1; deep has a bit for each tree in which the text's region was
     cut, so that a pair can't rely on meeting there.  carry: with the sig too, which pays if it is short.
     """
-    found = deep = None
+    found = deep = hot = None
     own = ["rep", "sig"] if carry else ["rep"]
     left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), F.lit(0).cast("long").alias("region"))
     for level, (start, stop, branches) in enumerate(zip((0, *forest.depths), forest.depths, forest.branches, strict=False)):
@@ -219,14 +222,15 @@ def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) ->
         found = small if found is None else found.unionByName(small)
         large = sizes.where(F.col("members") > REGION)
         if large.isEmpty():
-            return _with_deep(found, deep)
+            return _with_deep(found, deep), hot
         left = stash(_shared(keyed, large).select("rep", "sig", "tree", "region", "members"))
         if deep is None:
+            hot = left.select("region", "rep", "sig")
             deep = left.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
         if level + 1 < len(forest.depths):
             left = left.drop("members")
     # Texts that agree in all hashes of a tree: cut into parts by the id; the first of each part also
-    # meet in regions of their own.
+    # meet in regions of their own.  The other pairs are those of hot.
     while True:
         parts = left.select("rep", *(["sig"] if carry else []), "region", "members").withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / (REGION // 2)))))
         sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.first("region").alias("whole"), *([F.min_by("sig", "rep").alias("sig")] if carry else []))
@@ -237,7 +241,35 @@ def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) ->
         found = found.unionByName(heads.where(F.col("members") <= REGION).select("region", "members", F.lit(-1).alias("tree"), *own))
         left = heads.where(F.col("members") > REGION)
         if left.isEmpty():
-            return _with_deep(found, deep)
+            return _with_deep(found, deep), hot
+
+
+def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
+    """(region, rep, side, root, sig): pairs of parts of the cut regions, each as a region of its own.
+
+    hot: region, rep and sig.  linked: node and root of what is connected already.  A component of more
+    than REGION // 2 texts of a region has parts of its own, which don't meet each other; the other texts
+    are dealt to parts by their component.  Any two texts of a region with different roots meet: either in
+    two parts (side 0 and 1) or within one (side 2).
+    """
+    half = REGION // 2
+    rooted = hot.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = stash(rooted.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")))
+    rest = sizes.groupBy("region").agg(F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0)).alias("rest"), F.count(F.lit(1)).alias("n_roots"))
+    # A region of one component is done.
+    some = stash(sizes.join(rest.where("n_roots > 1"), "region"))
+    big = F.col("n") > half
+    own = F.xxhash64("region", "root", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("n") / half)))
+    mixed = F.xxhash64("region", F.pmod(F.xxhash64("root", "region"), F.ceil(F.col("rest") / half)))
+    dealt = rooted.join(some, ["region", "root"]).select("region", "rep", "root", "sig", F.when(big, own).otherwise(mixed).alias("part"), F.when(big, F.col("root")).alias("owner"))
+    dealt = stash(dealt)
+    parts = stash(dealt.groupBy("region", "part").agg(F.first("owner").alias("owner")))
+    one, two = (parts.select("region", F.col("part").alias(f"part{k}"), F.col("owner").alias(f"owner{k}")) for k in (0, 1))
+    pairs = one.join(two, "region").where("part0 <= part1 AND (owner0 IS NULL OR owner1 IS NULL OR owner0 <> owner1)")
+    side = F.when(F.col("part0") == F.col("part1"), F.array(F.struct(F.col("part0").alias("part"), F.lit(2).alias("side"))))
+    side = side.otherwise(F.array(F.struct(F.col("part0").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part1").alias("part"), F.lit(1).alias("side"))))
+    named = pairs.select("region", F.xxhash64("region", "part0", "part1").alias("name"), F.explode(side).alias("x")).select("region", "name", "x.part", "x.side")
+    return dealt.join(stash(named), ["region", "part"]).select(F.col("name").alias("region"), "rep", "side", "root", "sig")
 
 
 def _with_deep(found: DataFrame, deep: DataFrame | None) -> DataFrame:
@@ -323,14 +355,39 @@ def region_pairs(tree: int, deep: np.ndarray, sigs: np.ndarray, forest: Forest,
     return first, second, estimate
 
 
+def facing_pairs(side: np.ndarray, root: np.ndarray, sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As region_pairs, those of two parts or within one: all that aren't connected already."""
+    within = side[0] == 2
+    left, right = (np.arange(len(side)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(left), step):
+        x, y = left[a : a + step], right[a:] if within else right
+        e = (sigs[x, None] == sigs[None, y]).mean(2)
+        i, j = np.nonzero((e >= least) & (root[x, None] != root[None, y]))
+        if within:
+            i, j = i[j > i], j[j > i]
+        found.append((x[i], y[j], e[i, j]))
+    first, second, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
+    return first, second, estimate
+
+
+def compared(group: pa.Table, forest: Forest, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a group (a region, or parts that face each other) that are to be compared in it."""
+    third, fourth, sigs = group.column(2), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes)
+    if group.column_names[2] == "side":
+        return facing_pairs(third.to_numpy(), fourth, sigs, least)
+    return region_pairs(third[0].as_py(), fourth, sigs, forest, least)
+
+
 def _needed(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
-    """The rows of the larger regions that have a pair to be compared there.  members: region, rep, tree, deep, sig."""
-    names = ["region", "rep", "tree", "deep", "sig"]
+    """The rows of the larger regions that have a pair to be compared there.  members: region, rep, tree, deep, sig,
+    or region, rep, side, root, sig."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, held, size = forest.least_estimate(percent / 100), [], 0
         for group in grouped(batches):
-            i, j, _ = region_pairs(group.column(2)[0].as_py(), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes), forest, least)
+            i, j, _ = compared(group, forest, least)
             if len(i):
                 held.append(group.take(np.unique(np.concatenate([i, j]))))
                 size += len(held[-1])
@@ -340,15 +397,17 @@ def _needed(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
         if held:
             yield from pa.concat_tables(held).combine_chunks().to_batches()
 
-    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, rep long, tree int, deep long, sig binary")
+    names = ["region", "rep", *(["side", "root"] if "side" in members.columns else ["tree", "deep"]), "sig"]
+    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, f"region long, rep long, {names[2]} int, {names[3]} long, sig binary")
 
 
-def region_links(ids: list[int], tree: int, deep: np.ndarray, sigs: np.ndarray, sets: Sets, forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
+def region_links(group: pa.Table, sets: Sets, forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
     """Confirmed links that connect whatever all confirmed links of the region's pairs would connect, fewer than texts."""
-    linked = sets.shingles.linked
-    i, j, estimate = region_pairs(tree, deep, sigs, forest, forest.least_estimate(percent / 100))
+    linked, ids = sets.shingles.linked, group.column(1).to_pylist()
+    i, j, estimate = compared(group, forest, forest.least_estimate(percent / 100))
     order = np.argsort(-estimate, kind="stable")
-    parent = np.arange(len(ids))
+    # What has one root is connected already.
+    parent = np.unique(group.column(3).to_numpy(), return_inverse=True)[1] if group.column_names[3] == "root" else np.arange(len(ids))
     while len(order):
         # What is connected already needs no confirmation; the rest goes on in blocks.
         x, y = i[order], j[order]
@@ -363,7 +422,7 @@ def region_links(ids: list[int], tree: int, deep: np.ndarray, sigs: np.ndarray,
 
 
 def _large(members: DataFrame, forest: Forest, shingler: Callable, percent: int) -> DataFrame:
-    """Confirmed links of the larger regions.  members: region, rep, tree, deep, sig, text."""
+    """Confirmed links of the larger regions.  members: those of _needed, and text."""
 
     def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
@@ -372,14 +431,14 @@ def _large(members: DataFrame, forest: Forest, shingler: Callable, percent: int)
         shingles = shingler()
         links: list[tuple[int, int]] = []
         for group in grouped(batches):
-            sets = Sets(group.column(5), shingles)
-            links += region_links(group.column(1).to_pylist(), group.column(2)[0].as_py(), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes), sets, forest, percent)
+            links += region_links(group, Sets(group.column(5), shingles), forest, percent)
             if len(links) > 10_000:
                 yield made(links)
                 links = []
         yield made(links)
 
-    return members.select("region", "rep", "tree", "deep", "sig", "text").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    names = ["region", "rep", *(["side", "root"] if "side" in members.columns else ["tree", "deep"]), "sig", "text"]
+    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable, percent: int) -> DataFrame:
@@ -407,7 +466,8 @@ def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Fore
     reps: rep and sig.  texts: makes rep and text of a table of wanted reps.  shingler: makes what turns a
     text into a set (a call) and tells whether two sets are linked.  carry: see regions.
     """
-    members = stash(regions(reps, forest, carry))
+    found, hot = regions(reps, forest, carry)
+    members = stash(found)
     signed = (lambda x: x) if carry else (lambda x: x.join(reps, "rep"))
     few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
     pairs = stash(_small(signed(few), forest, percent))
@@ -415,7 +475,13 @@ def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Fore
     wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct())
     full = stash(texts(wanted))
     links = _confirmed(pairs, full, shingler, percent).unionByName(_large(needed.join(full, "rep"), forest, shingler, percent))
-    return components(links)
+    if hot is None:
+        return components(links)
+    linked = stash(components(links))
+    needed = stash(_needed(facing(hot, linked), forest, percent))
+    full = texts(stash(needed.select("rep").distinct()))
+    more = _large(needed.join(full, "rep"), forest, shingler, percent)
+    return components(linked.toDF("a", "b").unionByName(more))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

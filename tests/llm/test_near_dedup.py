@@ -65,6 +65,33 @@ def test_large_regions_are_cut(spark, monkeypatch):
     assert found(spark, ids, texts) == expected(ids, texts)
 
 
+#: Two trees that no depth cuts further.
+FLAT = near_dedup.Forest(2, 3, (3,), (1,))
+
+
+def flat(shingles, hashes=FLAT.hashes):
+    """A signature that all texts have, so that their regions are too large at every depth."""
+    return bytes(2 * hashes)
+
+
+def sparse(pairs=30, words=60):
+    """Texts that have nothing in common but with one other each, and a dense family."""
+    texts = []
+    for i in range(pairs):
+        text = [f"p{i}x{k}" for k in range(words)]
+        texts += [" ".join(text), " ".join([*text[:-2], "other", "end"])]
+    return texts + [f"{' '.join(f'v{k}' for k in range(100))} tail{i}" for i in range(20)]
+
+
+def test_few_links_in_regions_that_no_depth_cuts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    monkeypatch.setattr(near_dedup, "DOCUMENTS", FLAT)
+    monkeypatch.setattr(near_dedup, "signature", flat)
+    texts = sparse()
+    ids = random.Random(5).sample(range(1000), len(texts))
+    assert found(spark, ids, texts) == expected(ids, texts)
+
+
 def test_threshold_is_exact(spark):
     # Sets of 10 and 8 shingles with 8 in common: 80 of 100, linked; 9 and 7 with 7: not.
     base = [f"t{i}" for i in range(13)]
