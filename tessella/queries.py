@@ -233,8 +233,10 @@ def _tiles_overview(kernel: str):
 
 
 def overview_odd_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = masked_g(spark, sf_dir).where("valid AND r < 499 AND c < 63").select("band", "r", "c", "v")
-    return resample.overview(cells, "bilinear", 499, 63)
+    # Odd sides: an even image goes without its last row or column.
+    high, wide = (n - 1 + n % 2 for n in size_g(spark, sf_dir))
+    cells = masked_g(spark, sf_dir).where(F.col("valid") & (F.col("r") < high) & (F.col("c") < wide)).select("band", "r", "c", "v")
+    return resample.overview(cells, "bilinear", high, wide)
 
 
 def halo_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,10 @@ def test_query(spark, oracle, name):
     at = [order.index(c) for c in columns]
     assert found == sorted(key([r[i] for i in at]) for r in rel.fetchall())
     assert found
+
+
+def test_odd_edge_takes_the_whole_image(spark, tmp_path):
+    rows = [(i, [float(i % 7 + k + 1) / 1000 for k in range(70)]) for i in range(700)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["overview_odd_edge"](spark, str(tmp_path)).collect()
+    assert (max(r.r for r in found), max(r.c for r in found)) == (348, 33)
