@@ -10,6 +10,10 @@ documents, different values different ones, punctuation and case stay, and who h
 Kinds: email (the part before the @), phone, ip, date (1900 to 2099), ssn, iban, card, and secret
 (hexadecimal credentials after token =, key =, password = and the like).
 
+Dates with slashes are month/day where that is a date, else day/month.  Phone numbers begin with + or are of
+three, three and four digits (North American numbers, also after 1) set apart by brackets, hyphens, dots or
+spaces; other national forms are not looked for.
+
 Defined cases: a null text stays null and an empty one empty; values that fail validation stay; an
 input column named like a new one is replaced.
 """
@@ -38,13 +42,16 @@ HINT = re.compile("[0-9@]")
 FOUND = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][\w.%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
     r"|(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?(?P<hex>[0-9A-Fa-f]{16,})(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w+.-])(?:1[-. ])?[2-9]\d\d(?:-[2-9]\d\d-|\.[2-9]\d\d\.| [2-9]\d\d )\d{4}(?![\w-]|\.\d))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\d-]))"
-    r"|(?P<iban>\b[A-Z]{2}\d\d(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?!\w))"
+    r"|(?P<iban>\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]?\d))"
 )
+#: What is passed over where an account number is not valid; the rest of it may hold other values.
+DIGITS_ONLY = re.compile(r"[A-Z]{2}\d\d(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?!\w)")
 
 
 def _half(key: bytes, tweak: bytes, number: int, value: int, bits: int) -> int:
@@ -111,7 +118,11 @@ def _ssn(digits: str) -> bool:
     return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
-DATES = (("%Y-%m-%d", "-"), ("%d.%m.%Y", "."), ("%m/%d/%Y", "/"))
+def _nanp(digits: str) -> bool:
+    return digits[0] > "1" and digits[3] > "1"
+
+
+DATES = (("%Y-%m-%d", "-"), ("%d.%m.%Y", "."), ("%m/%d/%Y", "/"), ("%d/%m/%Y", "/"))
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -133,10 +144,13 @@ class Pseudonyms:
                     try:
                         day = datetime.datetime.strptime(text, form).date().toordinal() - FIRST_DAY  # noqa: DTZ007
                     except ValueError:
-                        return None
+                        continue
                     if not 0 <= day < DAYS:
                         return None
-                    return datetime.date.fromordinal(FIRST_DAY + permuted(day, DAYS, self.key, tweak, back=back)).strftime(form)
+                    # Day/month only where month/day fails: the image must fail there too.
+                    late = (lambda v: datetime.date.fromordinal(FIRST_DAY + v).day > 12) if form == "%d/%m/%Y" else (lambda _: True)
+                    return datetime.date.fromordinal(FIRST_DAY + permuted(day, DAYS, self.key, tweak, late, back)).strftime(form)
+            return None
         if kind == "ip":
             parts = text.split(".")
             if any(int(p) > 255 or str(int(p)) != p for p in parts):
@@ -160,6 +174,8 @@ class Pseudonyms:
                 return None
             if text[0] == "+":
                 keep = len(re.match(r"\+(\d{1,3}?)(?=[ .(-])|\+(\d)", text)[0]) - 1
+            elif text[0] != "(":
+                keep, check = len(chars) - 10, _nanp
         elif kind == "ssn":
             check = _ssn
         elif kind == "card":
@@ -185,23 +201,32 @@ class Pseudonyms:
         if not HINT.search(text):
             return text, spans
 
-        def put(m: re.Match) -> str:
+        out, done, pos = [], 0, 0
+        while m := FOUND.search(text, pos):
             kind = m.lastgroup if m.lastgroup != "hex" else "secret"
             name = "hex" if kind == "secret" else kind
-            found = m[name]
-            known = (name, found)
-            if known not in self.memo:
-                if len(self.memo) > MEMO_VALUES:
-                    self.memo.clear()
-                self.memo[known] = self.value(name, found)
-            made = self.memo[known]
-            if made is None:
-                return m[0]
-            at = m.start(name)
-            spans.append((kind, at, at + len(found)))
-            return m[0][: at - m.start()] + made + m[0][at - m.start() + len(found) :]
-
-        return FOUND.sub(put, text), spans
+            at, found = m.start(name), m[name]
+            made, pos = self._known(name, found), m.end()
+            if kind == "iban":
+                # Words in capitals or numbers may follow.
+                while made is None and " " in found:
+                    found = found.rpartition(" ")[0]
+                    made = self._known(name, found) if len(found) > 11 else None
+                digits = DIGITS_ONLY.match(text, at)
+                pos = at + len(found) if made is not None else digits.end() if digits else at + 4
+            if made is not None:
+                spans.append((kind, at, at + len(found)))
+                out += [text[done:at], made]
+                done = at + len(found)
+        return "".join([*out, text[done:]]), spans
+
+    def _known(self, name: str, found: str) -> str | None:
+        known = (name, found)
+        if known not in self.memo:
+            if len(self.memo) > MEMO_VALUES:
+                self.memo.clear()
+            self.memo[known] = self.value(name, found)
+        return self.memo[known]
 
 
 NEW = "text string, n_private long, spans array<struct<kind: string, start: int, stop: int>>"

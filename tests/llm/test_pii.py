@@ -82,6 +82,21 @@ def test_values_in_texts():
     assert other.split("from ")[1] in made
 
 
+@pytest.mark.parametrize(("kind", "text"), [
+    ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "GB82WEST12345698765432"), ("iban", "FR14 2004 1010 0505 0001 3M02 606"),
+    ("iban", "NL91 ABNA 0417 1643 00"), ("iban", "IE29 AIBK 9311 5212 3456 78"), ("date", "31/12/2024"),
+    ("phone", "212-555-0187"), ("phone", "212.555.0187"), ("phone", "1 212 555 0187"),
+])
+def test_letters_day_first_and_plain_phones(kind, text):
+    for around in ("{}", "to {} AND SO ON, 2024", "to {} THEN, sir."):
+        whole = around.format(text)
+        made, spans = NAMES.text(whole)
+        assert [(k, whole[a:b]) for k, a, b in spans] == [(kind, text)]
+        value = made[spans[0][1] : spans[0][2]]
+        assert value != text and NAMES.value(kind, value, back=True) == text
+        assert NAMES.text(made)[1] == spans  # found in the same place again
+
+
 def test_neighbours_and_case():
     text = '+1 (826) 555-4081 190.137.223.204, TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'
     made, spans = NAMES.text(text)
