@@ -3,12 +3,22 @@
 import re
 
 import corpus_pipeline
-from tessella.llm import quality_knn
+from tessella.llm import near_dedup, quality_knn
 from tessella.llm.queries import QUERIES, tokenizer
 
 from .helpers import DATA, needs_data
 from .test_decontam import brute
-from .test_near_dedup import expected
+from .test_near_dedup import FLAT, expected, flat, sparse
+
+
+def test_near_stage_in_regions_that_no_depth_cuts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    monkeypatch.setattr(near_dedup, "DOCUMENTS", FLAT)
+    monkeypatch.setattr(near_dedup, "signature", flat)
+    texts = sparse()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, DATA).collect()}
+    assert kept == {d for d, (_, _, left) in expected(list(range(len(texts))), texts, size=5).items() if left}
 
 
 @needs_data
