@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared by their sets of seven-character shingles.  A signature of 30 minhashes makes ten
-bands of three: two lines of similarity 0.8 share a band with probability 0.9992, of 0.9 with 1 - 2e-6.
+Lines are compared by their sets of seven-character shingles.  A signature of 48 minhashes makes 16
+bands of three: two lines of similarity 0.8 share a band with probability 0.99999.
 Candidates are confirmed by their exact Jaccard similarity, and of each component of confirmed links
 (distributed star contraction) the line that comes first (by document, then place) stays, once in the
 whole corpus.
@@ -31,7 +31,7 @@ from .common import bounded_batches, fresh, named, stash, text_of
 from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, roots
 
 SHINGLE, PERCENT = 7, 80
-LINES = Forest(10, 3, (3, 6, 9, 12), (1, 3, 3, 1))
+LINES = Forest(16, 3, (3, 6, 9, 12), (1, 3, 3, 1))
 #: Characters whose shingles are hashed at once, so that the arrays stay in a core's cache.
 STEP = 1 << 16
 TRIM = " \t\r"
