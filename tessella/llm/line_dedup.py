@@ -7,7 +7,8 @@ Candidates are confirmed by their exact Jaccard similarity, and of each componen
 whole corpus.
 
 Equal lines are one class before anything else, so a line that millions of documents have is one row
-from there on.  Bands of many classes are treated as the regions of the near-duplicate forest are.
+from there on.  Bands of many classes are treated as the regions of the near-duplicate forest are:
+all their pairs are compared, those already connected apart, so a band's size loses no pair.
 Lines travel as digests and signatures; the text of a line moves only if a candidate pair needs it, and
 the texts of documents don't move at all unless the lines that go are too many to broadcast.
 

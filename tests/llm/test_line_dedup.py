@@ -69,6 +69,27 @@ def test_large_regions_and_no_broadcast(spark, monkeypatch):
     assert found(spark, docs) == expected(docs)
 
 
+#: Two bands that no depth cuts further.
+FLAT = near_dedup.Forest(2, 3, (3,), (1,))
+
+
+def flat(lines, hashes=FLAT.hashes):
+    """Signatures that all lines have, so that their bands are too large at every depth."""
+    return np.zeros((len(lines), hashes), "<u2")
+
+
+def test_few_links_in_bands_that_no_depth_cuts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    monkeypatch.setattr(line_dedup, "LINES", FLAT)
+    monkeypatch.setattr(line_dedup, "signatures", flat)
+    rng = random.Random(6)
+    docs = []
+    for i in range(30):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+        docs += [(i, line), (100 + i, f"{line[:-1]}X")]
+    assert found(spark, docs) == expected(docs)
+
+
 def test_bands_find_lines_at_the_threshold():
     """A pair of 0.8 is missed by one in 100,000 at most or so."""
     assert (1 - 0.8 ** line_dedup.LINES.depths[0]) ** line_dedup.LINES.trees < 2e-5
