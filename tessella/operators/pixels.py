@@ -37,14 +37,15 @@ def band_stats(pixels: DataFrame, exact: bool = True) -> DataFrame:
     """band, max, mean, min, std (of the population) and valid_percent, over valid pixels.
 
     exact: for whole-numbered pixels; sums are decimals, so the deviation does not depend on the order.
+    Where they or their products need more than 38 digits (10**9 pixels near the ends of 32 bits), the
+    deviation is that of means and spreads, as for other pixels.
     """
     v = F.when(F.col("valid"), F.col("v"))
     if exact:
-        n, total = F.count(v), F.sum(v.cast("decimal(20,0)"))
-        # The product below has to fit 38 digits; the raw sums do for 10**14 pixels of 16 bits.
-        square = F.sum(v.cast("decimal(10,0)") * v.cast("decimal(10,0)"))
-        spread = n.cast("decimal(20,0)") * square - total * total
-        std = F.sqrt(spread.cast("double")) / F.nullif(n, F.lit(0))
+        n, total = F.count(v), F.try_sum(v.cast("decimal(20,0)"))
+        square = F.try_sum(F.try_multiply(v.cast("decimal(19,0)"), v.cast("decimal(19,0)")))
+        spread = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), square), F.try_multiply(total, total))
+        std = F.coalesce(F.sqrt(spread.cast("double")) / F.nullif(n, F.lit(0)), F.stddev_pop(v))
     else:
         std = F.stddev_pop(v)
     percent = F.lit(100.0) * (F.lit(1.0) - F.avg(F.when(F.col("valid"), 0).otherwise(1)))

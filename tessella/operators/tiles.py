@@ -9,6 +9,7 @@ a halo they move a quarter of it, already resampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -37,6 +38,14 @@ def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in schema], schema, strict=True)], schema=schema)
 
 
+def holds(dtype: str, value: float) -> bool:
+    """Whether a pixel of the type can have the value."""
+    kind = np.dtype(dtype)
+    if kind.kind == "f":
+        return True
+    return value == value and float(value).is_integer() and np.iinfo(kind).min <= value <= np.iinfo(kind).max
+
+
 @dataclass(frozen=True)
 class Raster:
     """Tiles of one level of an image, and what its tiles have in common."""
@@ -58,6 +67,8 @@ class Raster:
             raise ValueError("blocksize must be a multiple of 16")
         if min(self.height, self.width, self.bands) < 1:
             raise ValueError("an image has at least one pixel and one band")
+        if self.nodata is not None and not holds(self.dtype, self.nodata):
+            raise ValueError(f"no pixel of type {self.dtype} can be {self.nodata}: give another nodata value, or none and a mask")
 
     @property
     def tile_rows(self) -> int:
@@ -167,8 +178,9 @@ def _filler(nodata: float | None, dtype: str) -> float | int:
     """What an invalid pixel holds."""
     if nodata is None:
         return 0
-    kind = np.dtype(dtype)
-    return nodata if kind.kind == "f" else int(nodata) if nodata == nodata and np.iinfo(kind).min <= nodata <= np.iinfo(kind).max else 0
+    if not holds(dtype, nodata):
+        raise ValueError(f"no pixel of type {dtype} can be {nodata}")
+    return nodata if np.dtype(dtype).kind == "f" else int(nodata)
 
 
 # Tables of tiles.
@@ -333,6 +345,19 @@ def overview(raster: Raster, kernel: str) -> Raster:
     return replace(raster, tiles=tiles, height=high, width=wide, level=level)
 
 
+MOMENTS = "band int, max double, mean double, min double, std double, n long"
+
+
+def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean and deviation of exact sums."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            n, total, square = row["n"], int(row["total"]), int(row["square"])
+            rows.append((row["band"], row["max"], float(total) / n, row["min"], math.sqrt(n * square - total * total) / n, n))
+        yield batch_of(rows, MOMENTS)
+
+
 def band_stats(raster: Raster) -> DataFrame:
     """band, max, mean, min, std and valid_percent over valid pixels.
 
@@ -358,8 +383,10 @@ def band_stats(raster: Raster) -> DataFrame:
                         continue
                     if whole:
                         y = x.astype(np.int64)
-                        # 32 bits squared fit 64, a sum of up to 2**20 rows of them does not: halves.
-                        square = int(np.sum((y * y) >> 32)) * (1 << 32) + int(np.sum((y * y) & 0xFFFFFFFF))
+                        # 32 bits squared fit 64 without a sign, a sum of them does not: halves.
+                        z = np.abs(y).astype(np.uint64)
+                        z *= z
+                        square = int(np.sum(z >> np.uint64(32))) * (1 << 32) + int(np.sum(z & np.uint64(0xFFFFFFFF)))
                         ends = (str(int(y.sum())), str(square))
                     else:
                         z = x.astype(np.float64)
@@ -371,9 +398,10 @@ def band_stats(raster: Raster) -> DataFrame:
     every = raster.tiles.sparkSession.range(1, bands + 1).select(F.col("id").cast("int").alias("band"))
     n = F.sum("n")
     if whole:
-        total, square = F.sum(F.col("total").cast("decimal(28,0)")), F.sum(F.col("square").cast("decimal(28,0)"))
-        spread = n.cast("decimal(20,0)") * square - total * total
-        by = parts.groupBy("band").agg(F.max("most").alias("max"), (total.cast("double") / n).alias("mean"), F.min("least").alias("min"), (F.sqrt(spread.cast("double")) / n).alias("std"), n.alias("n"))
+        # Sums fit 38 digits for 10**18 pixels of 32 bits; their products need not, so the last step, a row a band, has Python's integers.
+        total, square = (F.sum(F.col(c).cast("decimal(28,0)")).cast("string").alias(c) for c in ("total", "square"))
+        sums = parts.groupBy("band").agg(F.max("most").alias("max"), F.min("least").alias("min"), n.alias("n"), total, square)
+        by = sums.mapInArrow(_moments, MOMENTS)
     else:
         centre = parts.groupBy("band").agg((F.sum(F.col("n") * F.col("mean")) / n).alias("centre"))
         parts = written(parts, "partials")  # used twice, and a row a tile and band

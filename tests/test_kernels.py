@@ -148,6 +148,40 @@ def test_stats_of_tiles_and_pixels(spark):
             assert r.valid_percent == pytest.approx(100 * ok.mean())
 
 
+def test_stats_near_the_end_of_32_bits(spark):
+    data = np.full((40, 40), 4294967290, np.uint32)
+    data[::2] = 4294967295
+    row = tiles.band_stats(tiles.from_array(spark, data, blocksize=16)).first()
+    assert (row.max, row.min, row.mean, row.std) == (4294967295.0, 4294967290.0, 4294967292.5, 2.5)
+    low = np.full((40, 40), -2147483648, np.int32)
+    low[::2] = -2147483644
+    assert tiles.band_stats(tiles.from_array(spark, low, blocksize=16)).first().std == 2.0
+
+
+def test_stats_of_ten_to_the_ten_pixels(spark):
+    """Sums whose products are over 38 digits: as a raster of 10**10 pixels would give them."""
+    rows = [(1, 4294967295.0, 4294967290.0, 10**10, str(5 * 10**9 * (4294967295 + 4294967290)), str(5 * 10**9 * (4294967295**2 + 4294967290**2)))]
+    sums = spark.createDataFrame(rows, "band int, max double, min double, n long, total string, square string")
+    row = sums.mapInArrow(tiles._moments, tiles.MOMENTS).first()
+    assert (row.mean, row.std) == (4294967292.5, 2.5)
+
+
+def test_pixel_stats_beyond_38_digits(spark):
+    cells = spark.range(2000).selectExpr("1 AS band", "cast(id AS int) AS r", "0 AS c", "9000000000000000000 + id * 100000000000000 AS v")
+    row = pixels.band_stats(pixels.masked(cells)).first()
+    assert row.std == pytest.approx(np.std(np.arange(2000) * 1e14), rel=1e-9)
+    assert row.mean == pytest.approx(9e18 + 999.5e14)
+
+
+@pytest.mark.parametrize(("dtype", "nodata"), [("uint8", -9999), ("int16", 1.5), ("uint16", float("nan")), ("int8", 128)])
+def test_nodata_that_no_pixel_can_be(spark, dtype, nodata):
+    with pytest.raises(ValueError, match="nodata"):
+        tiles.from_array(spark, np.zeros((4, 4), dtype), blocksize=16, nodata=nodata)
+    cells = spark.createDataFrame([(1, 0, 0, 5)], "band int, r int, c int, v int")
+    with pytest.raises(ValueError):
+        tiles.from_pixels(cells, 16, 16, 1, dtype, 16, nodata)
+
+
 def test_stats_without_a_valid_pixel(spark):
     raster = tiles.from_array(spark, np.zeros((20, 20), np.uint8), np.zeros((20, 20)), 16)
     row = tiles.band_stats(raster).first()
