@@ -13,9 +13,9 @@ from .kernels import HALO
 
 # Option names and defaults.
 DEFAULTS: dict[str, Any] = {"sparse_ok": True, "geotiff_version": 1.1, "blocksize": 512, "cog_ghost_data": False, "statistics": False, "compress": "deflate"}
-#: Names that would move, re-cut or re-order pixels.
+# Names that are refused because they would move, re-cut or re-order pixels.
 REFUSED = ("warp_resampling", "target_srs", "tiling_scheme", "interleave", "jpegtablesmode", "blockxsize", "blockysize", "zoom_level", "zoom_level_strategy", "res", "extent", "aligned_levels", "add_alpha")
-#: Names whose values are always these.
+# Names whose values are always these.
 REQUIRED: dict[str, Any] = {"driver": "cog", "bigtiff": "yes", "tiled": "yes", "overviews": "auto", "sharing": False}
 CODECS = ("none", "deflate", "zstd", "lzma", "lzw")
 ABSENT_CODECS = ("jpeg", "webp", "lerc", "lerc_deflate", "lerc_zstd", "jxl")
@@ -28,6 +28,20 @@ class OptionError(ValueError):
     """An option that can't be met."""
 
 
+#: Words for a switch that is on, and for one that is off.
+ON, OFF = ("yes", "true", "on", "1"), ("no", "false", "off", "0")
+
+
+def switch(name: str, value: Any) -> bool:
+    """Whether a switch is on: a boolean, a number, or a word for one in any case."""
+    if not isinstance(value, str):
+        return bool(value)
+    word = value.strip().lower()
+    if word not in ON + OFF:
+        raise OptionError(f"{name} must be one of {', '.join(ON + OFF)}")
+    return word in ON
+
+
 def lowered(options: Mapping[str, Any]) -> dict[str, Any]:
     """Keys in lower case; values too where they are names."""
     out = {}
@@ -131,10 +145,10 @@ class CogOptions:
             overview_predictor=PREDICTORS[str(over.get("predictor", "no")).lower()],
             level=p.get("level", quality(p)),
             overview_level=p.get("overview_level", quality(over)),
-            sparse_ok=bool(p["sparse_ok"]),
+            sparse_ok=switch("sparse_ok", p["sparse_ok"]),
             geotiff_version=float(p["geotiff_version"]),
-            ghost=bool(own.get("cog_ghost_data", True)),
-            statistics=bool(p["statistics"]),
+            ghost=switch("cog_ghost_data", own.get("cog_ghost_data", True)),
+            statistics=switch("statistics", p["statistics"]),
             nodata=p.get("nodata"),
             crs=None if p.get("crs") is None else str(p["crs"]),
             transform=None if p.get("transform") is None else tuple(map(float, tuple(p["transform"])[:6])),

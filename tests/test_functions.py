@@ -76,6 +76,17 @@ def test_wrong_options(wrong):
         options.checked(wrong)
 
 
+@pytest.mark.parametrize(("word", "on"), [("NO", False), ("false", False), ("Off", False), ("0", False), ("YES", True), ("true", True), ("on", True), ("1", True), (0, False), (True, True)])
+def test_words_for_switches(word, on):
+    o = options.CogOptions.of({"resampling": "mode", "sparse_ok": word, "statistics": word, "cog_ghost_data": word})
+    assert (o.sparse_ok, o.statistics, o.ghost) == (on, on, on)
+
+
+def test_other_words_are_no_switches():
+    with pytest.raises(options.OptionError, match="statistics"):
+        options.CogOptions.of({"resampling": "mode", "statistics": "maybe"})
+
+
 def test_resampling_is_an_alias():
     assert options.checked({"Resampling": "MODE"}) == {"overview_resampling": "mode"}
     both = options.checked({"resampling": "mode", "overview_resampling": "rms"})
