@@ -26,15 +26,17 @@ def file_order(tiles: DataFrame) -> DataFrame:
     return _running(tiles.withColumn("one", F.lit(1).cast("long")), "one", "seq").drop("one")
 
 
-def _running(rows: DataFrame, what: str, name: str) -> DataFrame:
-    """Adds name: the sum of ``what`` over the rows before, in file order."""
+def _running(rows: DataFrame, what: str, name: str, total: str | None = None) -> DataFrame:
+    """Adds name: the sum of ``what`` over the rows before, in file order; and total: the sum over all."""
     lines = rows.groupBy("level", "tile_row").agg(F.sum(what).alias("__sum"))
     before = Window.orderBy(F.desc("level"), "tile_row").rowsBetween(Window.unboundedPreceding, -1)
     # One row a row of tiles: an image of 10**8 pixels in height has 2 * 10**5.
-    starts = lines.select("level", "tile_row", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = [] if total is None else [F.sum("__sum").over(every).alias(total)]
+    starts = lines.select("level", "tile_row", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), *whole)
     inside = Window.partitionBy("level", "tile_row").orderBy("tile_col", "is_mask").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(starts, ["level", "tile_row"]).withColumn(name, (F.col("__start") + F.coalesce(F.sum(what).over(inside), F.lit(0))).cast("long"))
-    return out.select(*rows.columns, name)
+    return out.select(*rows.columns, name, *([] if total is None else [total]))
 
 
 def offsets(index: DataFrame, header_length: int | Column = 0, ghost: bool = False) -> DataFrame:
@@ -62,12 +64,15 @@ def directory_pairs(placed: DataFrame) -> DataFrame:
     return plane(False, "image").join(plane(True, "mask"), "level", "full_outer")
 
 
-def groups(rows: DataFrame, order: list, count: int = MAX_PARTS) -> DataFrame:
-    """Adds grp: at most count runs of consecutive rows of nearly equal numbers, the longer ones first.
-
-    For plans of at most some millions of rows: the order is one window.
-    """
-    return rows.withColumn("grp", F.ntile(count).over(Window.orderBy(*order)).cast("int"))
+def groups(tiles: DataFrame, count: int = MAX_PARTS) -> DataFrame:
+    """Adds grp: at most count runs of tiles that follow each other in the file, of nearly equal numbers, the
+    longer ones first.  Tiles have numbers in file order, of which the group is arithmetic."""
+    numbered = _running(tiles.withColumn("__one", F.lit(1).cast("long")), "__one", "__at", "__n")
+    div = lambda a, b: F.call_function("div", a, b)
+    at, size, longer = F.col("__at"), div(F.col("__n"), F.lit(count)), F.col("__n") % count
+    ahead = longer * (size + 1)
+    grp = F.when(at < ahead, div(at, size + 1)).otherwise(longer + div(at - ahead, F.greatest(size, F.lit(1))))
+    return numbered.select(*tiles.columns, (grp + 1).cast("int").alias("grp"))
 
 
 def part_size(total: int, least: int = MIN_PART) -> int:

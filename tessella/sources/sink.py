@@ -1,8 +1,8 @@
 """A Spark data source that writes a file from rows of its parts.
 
 Rows are part_no, layer, at and data: bytes for a place in a part; of overlapping ones the higher layer
-holds, and what no row covers is zero.  All rows of a part come to one task together, lowest part
-first, so a task holds one part at a time.
+holds, and what no row covers is zero.  All rows of a part come to one task together, a task's lowest
+part first, so a task holds one part at a time.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ def write_parts(parts: DataFrame, store: Store, part_bytes: int, total: int) ->
     session = store.create()
     n = -(-total // part_bytes)
     tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ready = parts.repartitionByRange(tasks, "part_no").sortWithinPartitions("part_no", "layer", "at")
+    # By the number's hash: a range would first sample the rows, and so make the whole plan twice.
+    ready = parts.repartition(tasks, "part_no").sortWithinPartitions("part_no", "layer", "at")
     try:
         ready.write.format(NAME).mode("append").option("store", b64encode(pickle.dumps(store)).decode()).option("session", session).option("part_bytes", part_bytes).option("total", total).save()
     except Exception:
