@@ -17,6 +17,8 @@ from ..operators.layout import MAX_PARTS
 
 #: Seconds for which a signed address holds, if nothing else is said.
 SIGNED_SECONDS = 8 * 60 * 60
+#: The client of addresses that name no other.
+OWN_CLIENT = f"{__package__}.s3:client"
 
 
 class Store(Protocol):
@@ -95,7 +97,8 @@ class S3Store:
 
 
 def resolved(path: str | Store, storage_options: dict[str, Any] | None = None) -> Store:
-    """The store of an address: a local path, file://, or s3:// with a client in the options."""
+    """The store of an address: a local path, file://, or s3://.  Options of s3: client ("module:function"; the own one
+    by default) and what the client is called with."""
     if not isinstance(path, str):
         return path
     options = dict(storage_options or {})
@@ -103,10 +106,10 @@ def resolved(path: str | Store, storage_options: dict[str, Any] | None = None) -
     if url.scheme in ("", "file"):
         return LocalStore(url.path if url.scheme else path)
     if url.scheme == "s3":
-        client = options.pop("client", None)
-        if not client:
-            raise ValueError('an s3 address needs storage_options["client"], as "module:function"')
-        return S3Store(url.netloc, url.path.lstrip("/"), client, options)
+        store = S3Store(url.netloc, url.path.lstrip("/"), options.pop("client", None) or OWN_CLIENT, options)
+        if store.client == OWN_CLIENT:
+            store._client().checked()  # keys that are not there are missed here, not in a task
+        return store
     raise ValueError(f"no store for {url.scheme}://")
 
 

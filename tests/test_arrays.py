@@ -58,3 +58,41 @@ def test_array_files(spark, tmp_path):
     assert sorted(raster.tiles.collect(), key=key) == sorted(direct.tiles.collect(), key=key)
     with pytest.raises(ValueError):
         arrays.from_npy(spark, str(tmp_path / "a.npy"), str(tmp_path / "a.npy"))
+
+
+class Chunked:
+    """An array file that tells its chunks and is read a window at a time."""
+
+    def __init__(self, path, chunks):
+        self.path, self.chunks = path, chunks
+        whole = np.load(path, mmap_mode="r")
+        self.shape, self.dtype = whole.shape, whole.dtype
+
+    def __getitem__(self, at):
+        return np.array(np.load(self.path, mmap_mode="r")[at])
+
+    def __array__(self, *_, **__):
+        raise AssertionError("the whole array was asked for")
+
+
+@pytest.mark.parametrize("chunks", [((2,), (32, 32, 16, 9), (48, 48, 4)), (2, 32, 48)])
+def test_chunked_arrays_are_read_by_tasks(spark, tmp_path, chunks):
+    data = np.random.default_rng(3).integers(0, 255, (2, 89, 100)).astype(np.uint8)
+    mask = np.random.default_rng(4).random((89, 100)) < 0.5
+    np.save(tmp_path / "data.npy", data)
+    np.save(tmp_path / "mask.npy", mask)
+    arr, lazy = Chunked(str(tmp_path / "data.npy"), chunks), Chunked(str(tmp_path / "mask.npy"), chunks[1:])
+    options = {"resampling": "average", "blocksize": 16}
+    for of_data, of_mask in ((None, None), (mask, lazy), (mask, mask)):
+        assert arrays.write_array(spark, arr, of_mask, options=options) == arrays.write_array(spark, data, of_data, options=options)
+
+
+def test_chunks_that_make_no_whole_tiles(spark):
+    fetch = lambda *_: None
+    for chunks in (((1, 1), (16,), (16,)), ((20, 20), (16,)), ((16,), (16, 24, 8)), ((16,),)):
+        with pytest.raises(ValueError):
+            arrays.from_chunks(spark, fetch, chunks, "uint8", 16)
+    # A thin last chunk joins the one before it.
+    made = arrays.from_chunks(spark, lambda t, b, l, r: np.full((b - t, r - l), b - t, np.uint8), ((16, 16, 12), (16,)), "uint8", 16)
+    rows = {r.tile_row: (r.height, r.payload[0]) for r in made.tiles.collect()}
+    assert rows == {0: (16, 16), 1: (16, 28), 2: (12, 28)}
