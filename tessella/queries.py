@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .functions.kernels import HALO, taps
 from .operators import layout, pixels, resample, tiles
 from .plans.cog import write_cog
 from .session import shared_path
+from .sources.arrays import from_chunks
 from .sources.reader import read_cog
 from .streaming.patches import patched
 
@@ -109,6 +112,24 @@ def raster_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_g(spark, sf_dir)
 
 
+def raster_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same raster from chunks of rows that tasks read from the file themselves."""
+    high, wide = size_g(spark, sf_dir)
+    path = f"{sf_dir}/embeddings.parquet"
+
+    def fetch(top: int, bottom: int, left: int, right: int) -> np.ndarray:
+        import pyarrow.fs as pafs
+
+        system, inside = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        rows = ds.dataset(inside, filesystem=system).to_table(["vec_id", "embedding"], (ds.field("vec_id") >= top) & (ds.field("vec_id") < bottom)).sort_by("vec_id")
+        cells = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(bottom - top, -1)
+        return np.floor(cells[:, left:right].astype(np.float64) * 1000).astype(np.int32)
+
+    rows = tuple(min(4 * BLOCK, high - a) for a in range(0, high, 4 * BLOCK))
+    made = from_chunks(spark, fetch, (rows, (wide,)), "int32", BLOCK)
+    return tiles.to_pixels(made).select("band", "r", "c", F.col("v").cast("int").alias("v"))
+
+
 def tile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = pixels.in_tiles(raster_g(spark, sf_dir), BLOCK)
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
@@ -173,12 +194,12 @@ def option_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options.overlay_rows(option_rows(spark, sf_dir))
 
 
-def option_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return options.refused_rows(option_rows(spark, sf_dir).where("layer % 3 = 0"))
+def option_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return options.refused_rows(option_rows(spark, sf_dir))
 
 
-def option_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return options.overview_rows(options.overlay_rows(option_rows(spark, sf_dir).where("layer % 4 = 0")))
+def option_overview_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return options.overview_rows(options.overlay_rows(option_rows(spark, sf_dir)))
 
 
 # Statistics.
@@ -208,6 +229,13 @@ def stats_nodata_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.band_stats(masked_g(spark, sf_dir))
 
 
+def stats_uint32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels near the end of their type, whose squares need all of 64 bits."""
+    high, wide = size_g(spark, sf_dir)
+    cells = raster_g(spark, sf_dir).withColumn("v", F.lit(4294966000) + F.col("v"))
+    return tiles.band_stats(tiles.from_pixels(cells, high, wide, 1, "uint32", BLOCK))
+
+
 def stats_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.stats_tags(stats_band(spark, sf_dir))
 
@@ -277,7 +305,7 @@ def ifd_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mpu_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_h(spark, sf_dir).where("nbytes > 0")
-    return layout.groups(index, [F.desc("level"), "tile_row", "tile_col", "is_mask"], 100).select("level", "tile_row", "tile_col", "is_mask", "grp")
+    return layout.groups(index, 100).select("level", "tile_row", "tile_col", "is_mask", "grp")
 
 
 def mpu_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,9 +352,9 @@ def tile_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = [
-    raster_scan, raster_mask, tile_split, tile_index,
-    overview_levels, level_dims, tile_grid, ifd_types, unoverlap_slices, chunk_adjust, chunk_validate, option_overlay, option_validate, option_overview,
-    stats_band, stats_nodata, stats_mask, stats_nodata_mask, stats_tags,
+    raster_scan, raster_mask, raster_chunks, tile_split, tile_index,
+    overview_levels, level_dims, tile_grid, ifd_types, unoverlap_slices, chunk_adjust, chunk_validate, option_overlay, option_refusals, option_overview_codec,
+    stats_band, stats_nodata, stats_mask, stats_nodata_mask, stats_uint32, stats_tags,
     *map(_overview, HALO), *map(_tiles_overview, HALO), overview_odd_edge, halo_exchange, pyramid_all,
     sparse_tiles, tile_order, layout_offsets, layout_ghost, ifd_align, mpu_ntile, mpu_plan,
     cog_roundtrip, cog_pyramid, cog_window, tile_patch,
@@ -422,6 +450,7 @@ _SCAN = f"WITH {_G} SELECT band, r, c, v FROM g"
 
 ORACLE_SQL = {
     "raster_scan": _SCAN,
+    "raster_chunks": _SCAN,
     "raster_mask": f"WITH {_G} SELECT band, r, c, v, {_OK} AND v <> 0 AS valid FROM g",
     "tile_split": f"WITH {_G} SELECT CAST(r // {BLOCK} AS INTEGER) AS tile_row, CAST(c // {BLOCK} AS INTEGER) AS tile_col, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY r, c)) AS sha256 FROM g GROUP BY ALL",
     "tile_index": f"WITH {_INDEX} SELECT * FROM idx WHERE nbytes > 0",
@@ -440,10 +469,10 @@ ORACLE_SQL = {
         SELECT id, CAST(pos AS INTEGER) AS pos, CAST(size + CASE WHEN after_edge AND after <= {grid.THIN_CHUNK} THEN after ELSE 0 END AS BIGINT) AS size FROM thin WHERE NOT (edge AND pos > 0 AND size <= {grid.THIN_CHUNK})""",
     "chunk_validate": f"""WITH {_CHUNKS} SELECT id, coalesce(bool_and(size % blocksize = 0) FILTER (NOT edge), true) AS aligned, coalesce(bool_and(size = blocksize) FILTER (NOT edge), true) OR count(*) = 1 AS row_major FROM chunks GROUP BY id""",
     "option_overlay": f"WITH {_OPTIONS}, {_overlaid('true')} SELECT job, key, value FROM over",
-    "option_validate": f"""WITH {_OPTIONS}, j AS (SELECT job, lower(key) AS key, lower(value) AS value FROM o WHERE layer % 3 = 0)
+    "option_refusals": f"""WITH {_OPTIONS}, j AS (SELECT job, lower(key) AS key, lower(value) AS value FROM o)
         SELECT job, count(DISTINCT key) FILTER (key IN ({_REFUSED})) AS n_refused,
                coalesce(coalesce(max(value) FILTER (key = 'overview_resampling'), max(value) FILTER (key = 'resampling')) IN ({_KERNELS}), false) AS resampling_ok FROM j GROUP BY job""",
-    "option_overview": f"""WITH {_OPTIONS}, {_overlaid('layer % 4 = 0')},
+    "option_overview_codec": f"""WITH {_OPTIONS}, {_overlaid('true')},
         wide AS (SELECT job, {', '.join(f"max(value) FILTER (key = '{n}') AS {n}" for k in ('compress', 'quality', 'predictor') for n in (k, f'overview_{k}'))} FROM over GROUP BY job),
         other AS (SELECT *, overview_compress IS NOT NULL AND overview_compress IS DISTINCT FROM compress AS own FROM wide)
         SELECT job, coalesce(overview_compress, compress) AS compress, coalesce(overview_quality, CASE WHEN NOT own THEN quality END) AS quality, coalesce(overview_predictor, CASE WHEN NOT own THEN predictor END) AS predictor FROM other""",
@@ -451,6 +480,7 @@ ORACLE_SQL = {
     "stats_nodata": f"WITH {_G} {_stats('g', 'v <> 0')}",
     "stats_mask": f"WITH {_G} {_stats('g', _OK)}",
     "stats_nodata_mask": f"WITH {_G} {_stats('g', f'{_OK} AND v <> 0')}",
+    "stats_uint32": f"WITH {_G}, u AS (SELECT band, CAST(v AS BIGINT) + 4294966000 AS v FROM g) {_stats('u', 'true')}",
     "stats_tags": f"""WITH {_E}, s AS ({_stats('e', 'true')})
         SELECT band, 'STATISTICS_MAXIMUM' AS name, max AS value FROM s UNION ALL SELECT band, 'STATISTICS_MEAN', mean FROM s UNION ALL SELECT band, 'STATISTICS_MINIMUM', min FROM s
         UNION ALL SELECT band, 'STATISTICS_STDDEV', std FROM s UNION ALL SELECT band, 'STATISTICS_VALID_PERCENT', valid_percent FROM s""",
