@@ -1,10 +1,15 @@
 """Exact deduplication by two Bloom passes, in DataFrame operations only.
 
-Pass 1 sets bits of a blocked Bloom filter (words of 64 bits; a text sets two bits of one word) and
-keeps the bits that were set at least twice.  A text is *possibly repeated* if both of its bits are
-such bits.  Pass 2 tests every row against that filter: rows that fail are unique and pass straight
-through, only the rest shuffle, grouped by the SHA-256 of the normalised text.  A false positive
-costs a shuffled row and never changes a result.
+Both passes run on slim rows: an id and the SHA-256 of the normalised text.  Pass 1 sets a bit of a
+Bloom filter for each row (one hash, 16 bits a row) and keeps the bits that were set at least twice.  A
+text is *possibly repeated* if its bit is such a bit.  Pass 2 tests every row against that filter: rows
+that fail are unique and pass straight through, only the rest shuffle, grouped by digest.  A
+false positive costs a shuffled slim row and never changes a result.
+
+Sizes: the filter grows with the rows up to 512 MB (2.7e8 rows at 16 bits); beyond, more rows are
+falsely possible (a share of 1 - exp(-rows / bits) at most, 21 % of 10**9), and from 3.4e10 rows on all are.
+Texts don't move for that: ``dedup`` broadcasts the rows that go up to 2**21, and beyond makes a filter of them (512 MB
+at most) that lets all texts but those that go, and that same share of the others, pass straight through.
 
 Defined cases: a null text equals an empty one; a null doc_id sorts after every other (it stays only
 if its whole group has none); rows that repeat both doc_id and text are one document, so all of them
@@ -16,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, named, stash, text_of
+from .common import FILTER_BITS, bit_filter, filter_bits, fresh, maybe_in, named, stash, text_of
 
-#: Filter words that may be broadcast: 2**21 rows of 16 bytes, some 50 MB as a hash relation.
-MAX_BROADCAST_WORDS = 1 << 21
+#: 64-bit words of a filter that is broadcast, and rows (an id and a hash) that are.
+MAX_BROADCAST_WORDS, MAX_BROADCAST_ROWS = FILTER_BITS // 64, 1 << 21
 #: A word of 64 bits for so many rows: 16 bits a row.
 ROWS_PER_WORD = 4
 
@@ -29,71 +34,73 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")
 
 
-def _slots(key: Column, words: int) -> tuple[Column, Column, Column]:
-    """The filter word of a key and its two bits in that word."""
-    again = F.xxhash64(key, F.lit(7))
-    return F.pmod(F.xxhash64(key), F.lit(words)), F.pmod(again, F.lit(64)).cast("int"), F.pmod(F.shiftright(again, 6), F.lit(64)).cast("int")
-
-
-def repeated_bits(keys: DataFrame, words: int) -> DataFrame:
-    """Pass 1.  keys: one column, of which equal values are looked for.  Returns (word, bits): the bits that two or more rows set."""
-    word, one, two = _slots(F.col(keys.columns[0]), words)
-    single = keys.select(word.alias("word"), F.explode(F.array_distinct(F.array(one, two))).alias("bit"))
-    twice = single.groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-
-
-def tested(df: DataFrame, key: str, filter_: DataFrame, words: int, out: str) -> DataFrame:
-    """Pass 2.  Adds out: whether both bits of the row's key are in the filter.
+def possible(slim: DataFrame, key: str, out: str) -> DataFrame:
+    """Both passes over slim rows.  Adds out: whether another row may have the same key.
 
-    The filter is broadcast only if its counted rows are within MAX_BROADCAST_WORDS; a larger one is
-    left to a shuffled join.
+    A filter has 16 bits a row while that is MAX_BROADCAST_WORDS at most, and fewer for more rows, so
+    that more of them are falsely possible; below an eighth of a bit a row there is none, and all are.
     """
-    word, bits = fresh(df, "word"), fresh(df, "bits")
-    filter_ = filter_.select(F.col("word").alias(word), F.col("bits").alias(bits))
-    if filter_.count() <= MAX_BROADCAST_WORDS:
-        filter_ = F.broadcast(filter_)
-    at, one, two = _slots(F.col(key), words)
-    hit = F.coalesce((F.getbit(bits, one) == 1) & (F.getbit(bits, two) == 1), F.lit(False))
-    return df.withColumn(word, at).join(filter_, word, "left").withColumn(out, hit).drop(word, bits)
-
-
-def _words(docs: DataFrame) -> int:
-    return max(1, docs.count() // ROWS_PER_WORD)
+    rows = slim.count()
+    bits = min(64 * -(-rows // ROWS_PER_WORD), 64 * MAX_BROADCAST_WORDS)
+    if 8 * bits < rows or not bits:
+        return slim.withColumn(out, F.lit(True))
+    return maybe_in(slim, F.col(key), bit_filter(slim, F.col(key), bits, repeated=True), bits, out)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs.
 
-    The text is read once: the slim rows (id, digest, filter bits) go to the shared folder, both
-    passes run on them.
+    The text is read once: the slim rows (id, digest) go to the shared folder, both passes run on them.
     """
-    words = _words(docs)
     slim = stash(docs.select("doc_id", F.sha2(normalised(text_of()), 256).alias("text_sha256")))
-    filter_ = stash(repeated_bits(slim.select("text_sha256"), words))
-    rows = tested(slim, "text_sha256", filter_, words, "__possible")
+    rows = possible(slim, "text_sha256", "__possible")
     unique = rows.where("not __possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    possible = rows.where("__possible").select("doc_id", "text_sha256")
+    some = rows.where("__possible").select("doc_id", "text_sha256")
     # Written, so that the join has an exchange on either side and Spark can split a hot text's rows.
-    groups = stash(possible.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    repeated = possible.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = stash(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    repeated = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return unique.unionByName(repeated)
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """doc_id, raw (a hash of the text as it is) and again of the rows that don't simply stay: they go, or, if
+    again, one of several equal rows stays."""
+    text = text_of()
+    slim = stash(docs.select("doc_id", F.xxhash64(text, F.octet_length(text)).alias("raw"), F.sha2(normalised(text), 256).alias("sha")))
+    some = possible(slim, "sha", "possible").where("possible").drop("possible")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw")).alias("least")
+    groups = stash(some.groupBy("sha").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.col("least.doc_id").alias("keep"), F.col("least.raw").alias("keep_raw")))
+    # Spark can split a hot text's rows here: both sides are exchanged for this join alone.
+    rows = some.join(groups, "sha").select("doc_id", "raw", (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("raw") == F.col("keep_raw"))).alias("again"))
+    return stash(rows.groupBy("doc_id", "raw", "again").agg(F.count(F.lit(1)).alias("n")).where("not again OR n > 1").drop("n"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Unique texts never leave their task.  Possibly repeated ones meet by digest: the smallest doc_id
-    of each digest is found with partial aggregation, so a group of any size puts one row a task
-    into the shuffle.
+    Both passes run on slim rows; what goes is told by id and hash of the text.  Up to MAX_BROADCAST_ROWS such
+    rows are broadcast, and no text moves at all.  More make a filter of at most MAX_BROADCAST_WORDS: rows
+    that are not in it pass straight through, and only the others shuffle.
     """
-    words = _words(docs)
-    sha, maybe, keep = (fresh(docs, x) for x in ("sha", "maybe", "keep"))
-    keyed = docs.withColumn(sha, F.sha2(normalised(text_of()), 256))
-    filter_ = stash(repeated_bits(keyed.select(sha), words))
-    rows = tested(keyed, sha, filter_, words, maybe)
-    unique = rows.where(~F.col(maybe)).select(*named(docs.columns))
-    possible = rows.where(maybe)
-    groups = stash(possible.groupBy(sha).agg(F.min("doc_id").alias(keep)))
-    stay = possible.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(*named(docs.columns))
-    return unique.unionByName(stay)
+    told = _told(docs)
+    raw, maybe, key, own, again = (fresh(docs, x) for x in ("raw", "maybe", "key", "own", "again"))
+    text = text_of()
+    keyed = docs.withColumn(raw, F.xxhash64(text, F.octet_length(text)))
+    told = told.select(F.col("doc_id").alias(key), F.col("raw").alias(own), F.col("again").alias(again))
+    rows = told.count()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(raw) == F.col(own))
+    columns = named(docs.columns)
+    straight = None
+    if rows > MAX_BROADCAST_ROWS:
+        bits = filter_bits(rows, most=64 * MAX_BROADCAST_WORDS)
+        whole = lambda a, b: F.xxhash64(a, b)
+        marked = maybe_in(keyed, whole("doc_id", raw), bit_filter(told, whole(key, own), bits), bits, maybe)
+        straight = marked.where(~F.col(maybe)).select(*columns)
+        joined = marked.where(maybe).join(told, same, "left")
+    else:
+        joined = keyed.join(F.broadcast(told), same, "left")
+    out = joined.where(F.col(again).isNull()).select(*columns)
+    if not told.where(again).isEmpty():
+        # Rows that repeat id and text: few, and one of each stays.
+        out = out.unionByName(joined.where(again).dropDuplicates(["doc_id", raw]).select(*columns))
+    return out if straight is None else straight.unionByName(out)
