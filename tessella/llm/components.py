@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import released
 from .common import stash
 
 
@@ -29,8 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = stash(small.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct())
+        done, edges = edges, stash(small.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct())
         now = _mark(edges)
+        released(done)  # the new edges are written, so nothing reads these again
         if now == before:
             break
         before = now

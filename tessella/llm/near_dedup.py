@@ -1,12 +1,13 @@
 """Near-duplicate groups by an LSH forest.
 
-Every text has a signature of 256 minhashes; each of 16 trees orders texts by 16 of them.  Texts whose
-longest common prefix in some tree has at least three hashes are neighbours, i.e. they stand in one
-*region* of that order; a region with more than REGION texts is cut at the next depth, and only such a
-region is (adaptive depth).  There the order branches: the region is cut by several runs of further
-hashes, and neighbours in one of them are enough, since a longer prefix alone would part texts that
-are just similar enough.  Cutting only finds what is quickly connected: all pairs of a cut region that
-are not connected then are compared, part by part in tasks of their own, so no pair is lost by it.
+Every text has a signature of 256 minhashes.  Each of 16 trees is an order of all texts by their
+signatures, read from another hash on; texts whose longest common prefix in some tree has at least three
+hashes are neighbours, i.e. they stand in one *region* of that order.  A region of at most REGION texts
+is compared whole.  A larger one is sorted again, in several orders by the hashes that follow: a range exchange
+by the whole rotated signature, in which each task measures the common prefix of every two rows that follow each
+other and cuts its rows where that is shortest until no run has more than REGION (so the depth is
+that of each run, up to the whole signature).  This finds what is quickly connected.  Then all pairs of a cut region that
+are not connected are compared, part by part in tasks of their own, so no pair is lost by a cut.
 
 Equal shingle sets are one class first, so copies cost nothing from there on.  Two texts that are
 neighbours in several trees are compared in the first of them.  A region of few classes gives pairs,
@@ -16,9 +17,9 @@ the others are confirmed on their full sets, and only the confirmed links leave,
 Components of all confirmed links are found by star contraction.
 
 Two texts of similarity J share a region with probability 1 - (1 - J**3)**16: 0.99999 at 0.8, whatever
-the size of their regions.  The work in a region above REGION grows with the square of those of its texts
-that its largest components leave out.
-Pairs whose estimate is more than four standard deviations below the threshold aren't confirmed.
+the size of their regions.  Pairs whose estimate is more than four standard deviations below the threshold
+aren't confirmed, which loses another 8e-5 of the pairs at 0.8 and fewer above.  The work in a region above
+REGION grows with the square of those of its texts that its largest components leave out.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay; fewer
 words than a shingle make one shingle; a null doc_id names no component: its row has its class's
@@ -38,16 +39,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, stash, text_of
+from .common import FILTER_BITS, bit_filter, bounded_batches, filter_bits, maybe_in, stash, text_of, without
 from .components import components
-from .exact_dedup import MAX_BROADCAST_WORDS
-
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees, hashes from the start of one tree to that of the next, the prefix lengths at which regions are
-    made, and in how many ways a region is cut there."""
+    """Trees, hashes from the start of one tree to that of the next, the common prefix of neighbours, and in how
+    many orders a tree is sorted: one for all texts, then so many for each region that is too large."""
 
     trees: int
     step: int
@@ -63,13 +62,27 @@ class Forest:
         return similarity - 4 * (similarity * (1 - similarity) / self.hashes) ** 0.5
 
 
-DOCUMENTS = Forest(16, 16, (3, 6, 9, 16), (1, 3, 3, 1))
+    def first_hash(self, tree: Column, order: Column) -> Column:
+        """Where the label of a text begins in its signature, in an order of a region that is sorted again."""
+        apart = self.hashes // (1 + self.orders)
+        return (tree * self.step + self.depths[0] + order * apart) % self.hashes
+
+    @property
+    def orders(self) -> int:
+        return self.branches[1] if len(self.branches) > 1 else 1
+
+
+DOCUMENTS = Forest(16, 16, (3,), (1, 3))
 #: Most classes of a region that are compared in one task, and of one that gives pairs.
 REGION, FEW = 2000, 6
-#: Words whose hashes a worker remembers, and shingles of the sets of a region that it holds.
-MEMO_WORDS, HELD_SHINGLES = 500_000, 1 << 20
-#: Pairs whose signatures are compared at once.
-PAIRS_AT_ONCE = 1 << 15
+#: So many times REGION are in a part of a cut region, all of whose pairs of parts meet; and are held at once where it is cut.
+FACES = 4
+#: 64-bit words of a filter that is broadcast, and ids that are.
+MAX_BROADCAST_WORDS, MAX_BROADCAST_ROWS = FILTER_BITS // 64, 1 << 21
+#: Words whose hashes a worker remembers, the bytes of the longest, and shingles of the sets of a region that it holds.
+MEMO_WORDS, LONGEST, HELD_SHINGLES = 500_000, 100, 1 << 20
+#: Pairs whose signatures are compared at once: their flags stay in a core's cache.
+PAIRS_AT_ONCE = 1 << 12
 
 LOWER = bytes((b | 32) if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20)
@@ -93,10 +106,13 @@ class Shingler:
         except KeyError:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
+            hashes = []
             for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            hashes = [memo[w] for w in words]
+                if (x := memo.get(w)) is None:
+                    x = xxhash.xxh3_64_intdigest(w)
+                    if len(w) <= LONGEST:
+                        memo[w] = x
+                hashes.append(x)
         h = np.array(hashes, np.uint64)
         n = len(h)
         if not n:
@@ -178,81 +194,101 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, FEATURES)
 
 
-def _region(forest: Forest, above: Column, tree: Column, branch: Column, start: int, stop: int) -> Column:
-    """The name of the region of a prefix that goes on from above by the hashes start to stop of the tree.
+def _prefixes(forest: Forest) -> Column:
+    """The first hashes of each tree."""
+    return F.array(*(F.substring("sig", 2 * forest.step * k + 1, 2 * forest.depths[0]) for k in range(forest.trees)))
 
-    Other branches take them from other trees.  What goes beyond the last hash goes on with the first.
-    """
-    at = (tree * forest.step + start + branch * (3 * forest.step)) % forest.hashes
-    # The first hashes of a tree never go beyond the last one.
-    sig = F.concat("sig", "sig") if start else F.col("sig")
-    return F.xxhash64(above, tree, branch, F.substring(sig, 2 * at + 1, F.lit(2 * (stop - start))))
+
+def filtered(rows: DataFrame, key: Column, keys: DataFrame, of_keys: Column) -> DataFrame:
+    """The rows whose key may be among the keys (a written table): most of the others go where they are read."""
+    if not MAX_BROADCAST_WORDS:
+        return rows
+    bits = filter_bits(keys.count(), most=64 * MAX_BROADCAST_WORDS)
+    return maybe_in(rows, key, bit_filter(keys, of_keys, bits), bits, "__maybe").where("__maybe").drop("__maybe")
 
 
 def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     """The rows of keys whose region is in sizes, with its members.
 
-    A Bloom filter of the regions goes first, where its checked size allows a broadcast, since most
-    texts have no neighbour at all.
+    A filter of the regions goes first, since most texts have no neighbour at all.
     """
-    words = max(1, sizes.count() // 3)
-    if words <= MAX_BROADCAST_WORDS:
-        word, bit = F.pmod(F.col("region"), F.lit(words)), F.pmod(F.xxhash64("region"), F.lit(64)).cast("int")
-        bits = sizes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-        keys = keys.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).drop("word", "bits")
-    return keys.join(sizes, "region")
+    return filtered(keys, F.col("region"), sizes, F.col("region")).join(sizes, "region")
 
 
-def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(region, members, rep, tree, deep) of all regions of two classes or more, and (region, rep, sig) of
-    those that were cut, whose pairs may not all meet in the first table.  reps: rep and sig.
+def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False, prefixes: Column | None = None, binary: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(region, members, tree, rep, deep) of the regions of two classes or more and REGION at most, and
+    (region, tree, rep, sig) of the larger ones.  reps: rep and sig.
 
-    tree is that of an uncut region, else -1; deep has a bit for each tree in which the text's region was
-    cut, so that a pair can't rely on meeting there.  carry: with the sig too, which pays if it is short.
+    deep has a bit for each tree in which the text's region was larger, so that a pair can't rely on meeting
+    there.  carry: with the sig too, which pays if it is short.  prefixes and binary: where sig is not binary, the
+    first hashes of each tree, and what makes it binary.
     """
-    found = deep = hot = None
     own = ["rep", "sig"] if carry else ["rep"]
-    left = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), F.lit(0).cast("long").alias("region"))
-    for level, (start, stop, branches) in enumerate(zip((0, *forest.depths), forest.depths, forest.branches, strict=False)):
-        branch = F.explode(F.sequence(F.lit(0), F.lit(branches - 1))) if branches > 1 else F.lit(0)
-        keyed = left.withColumn("branch", branch).withColumn("region", _region(forest, F.col("region"), F.col("tree"), F.col("branch"), start, stop)).drop("branch")
-        sizes = stash(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-        tree = F.lit(-1) if level else F.col("tree")
-        small = _shared(keyed.select(*own, "region", tree.alias("tree")), sizes.where(F.col("members") <= REGION)).select("region", "members", "tree", *own)
-        found = small if found is None else found.unionByName(small)
-        large = sizes.where(F.col("members") > REGION)
-        if large.isEmpty():
-            return _with_deep(found, deep), hot
-        left = stash(_shared(keyed, large).select("rep", "sig", "tree", "region", "members"))
-        if deep is None:
-            hot = left.select("region", "rep", "sig")
-            deep = left.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
-        if level + 1 < len(forest.depths):
-            left = left.drop("members")
-    # Texts that agree in all hashes of a tree: cut into parts by the id; the first of each part also
-    # meet in regions of their own.  The other pairs are those of hot.
-    while True:
-        parts = left.select("rep", *(["sig"] if carry else []), "region", "members").withColumn("part", F.xxhash64("region", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / (REGION // 2)))))
-        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.first("region").alias("whole"), *([F.min_by("sig", "rep").alias("sig")] if carry else []))
-        found = found.unionByName(parts.join(sizes.select("part", "n"), "part").select(F.col("part").alias("region"), F.col("n").alias("members"), F.lit(-1).alias("tree"), *own))
-        heads = sizes.select(F.xxhash64("whole", F.lit(1)).alias("region"), F.col("head").alias("rep"), *own[1:])
-        count = heads.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-        heads = stash(heads.join(count, "region"))
-        found = found.unionByName(heads.where(F.col("members") <= REGION).select("region", "members", F.lit(-1).alias("tree"), *own))
-        left = heads.where(F.col("members") > REGION)
-        if left.isEmpty():
-            return _with_deep(found, deep), hot
+    sig = F.col("sig") if binary is None else binary
+    keyed = reps.select("rep", "sig", F.posexplode(_prefixes(forest) if prefixes is None else prefixes).alias("tree", "prefix"))
+    keyed = keyed.withColumn("region", F.xxhash64("tree", "prefix")).drop("prefix")
+    sizes = stash(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    found = _shared(keyed.select(*own, "region", "tree"), sizes.where(F.col("members") <= REGION)).select("region", "members", "tree", "rep", *([sig.alias("sig")] if carry else []))
+    large = sizes.where(F.col("members") > REGION)
+    if large.isEmpty():
+        return found.withColumn("deep", F.lit(0).cast("long")), None
+    hot = stash(_shared(keyed, large).select("region", "tree", "rep", sig.alias("sig")))
+    deep = hot.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
+    return found.join(deep, "rep", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long"))), hot
+
+
+def cuts(labels: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [from, to) of sorted labels with two rows at least and ``most`` at most: cut where the common prefix of
+    neighbours is shortest.  Equal labels are cut anywhere, with a row in two runs."""
+    differ = labels[1:] != labels[:-1]
+    prefix = np.where(differ.any(1), differ.argmax(1), labels.shape[1]) if len(labels) > 1 else np.zeros(0, np.int64)
+    left = [(0, len(labels))]
+    while left:
+        a, b = left.pop()
+        if b - a <= most:
+            if b - a > 1:
+                yield a, b
+            continue
+        between = prefix[a : b - 1]
+        least = between.min()
+        if least == labels.shape[1]:
+            yield from ((k, min(k + most, b)) for k in range(a, b - 1, most - 1))
+        else:
+            at = [a, *(a + 1 + np.flatnonzero(between == least)).tolist(), b]
+            left += zip(at, at[1:], strict=False)
+
+
+def _again(hot: DataFrame, forest: Forest, percent: int) -> DataFrame:
+    """The rows of the cut regions that have a pair to be compared in a run of one of their orders, as _needed has them."""
+    order = F.explode(F.sequence(F.lit(0), F.lit(forest.orders - 1)))
+    spread = hot.select("region", "tree", "rep", "sig", order.alias("order"))
+    label = F.substring(F.concat("sig", "sig"), 2 * forest.first_hash(F.col("tree"), F.col("order")) + 1, F.lit(2 * forest.hashes))
+    spread = spread.select(F.xxhash64("region", "order").alias("run"), "rep", label.alias("label"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = forest.least_estimate(percent / 100)
+        for group in grouped(batches, FACES * REGION):
+            labels, ids, name = _sigs(group.column(2), forest.hashes), group.column(1).to_numpy(), group.column(0)[0].as_py()
+            for a, b in cuts(labels, REGION):
+                i, j, _ = region_pairs(0, ids, labels[a:b], forest, least)
+                if len(i):
+                    at = a + np.unique(np.concatenate([i, j]))
+                    # A text stands in one run of an order only, but for those that join two.
+                    region = xxhash.xxh3_64_intdigest(f"{name},{ids[a]},{ids[b - 1]}") - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), region)), pa.array(ids[at]), pa.array(np.full(len(at), -1, np.int32)), pa.array(np.zeros(len(at), np.int64)), group.column(2).take(pa.array(at)).combine_chunks()], ["region", "rep", "tree", "deep", "sig"])
+
+    return spread.repartitionByRange("run", "label").sortWithinPartitions("run", "label").mapInArrow(run, "region long, rep long, tree int, deep long, sig binary")
 
 
 def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
     """(region, rep, side, root, sig): pairs of parts of the cut regions, each as a region of its own.
 
     hot: region, rep and sig.  linked: node and root of what is connected already.  A component of more
-    than REGION // 2 texts of a region has parts of its own, which don't meet each other; the other texts
+    than FACES * REGION texts of a region has parts of its own, which don't meet each other; the other texts
     are dealt to parts by their component.  Any two texts of a region with different roots meet: either in
     two parts (side 0 and 1) or within one (side 2).
     """
-    half = REGION // 2
+    half = FACES * REGION
     rooted = hot.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = stash(rooted.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")))
     rest = sizes.groupBy("region").agg(F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0)).alias("rest"), F.count(F.lit(1)).alias("n_roots"))
@@ -272,12 +308,6 @@ def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
     return dealt.join(stash(named), ["region", "part"]).select(F.col("name").alias("region"), "rep", "side", "root", "sig")
 
 
-def _with_deep(found: DataFrame, deep: DataFrame | None) -> DataFrame:
-    if deep is None:
-        return found.withColumn("deep", F.lit(0).cast("long"))
-    return found.join(deep, "rep", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long")))
-
-
 def met_before(equal: np.ndarray, tree: np.ndarray, deep: np.ndarray, forest: Forest) -> np.ndarray:
     """Whether pairs share an uncut region of an earlier tree.  equal: pairs x hashes."""
     numbers = np.arange(forest.trees)
@@ -286,8 +316,8 @@ def met_before(equal: np.ndarray, tree: np.ndarray, deep: np.ndarray, forest: Fo
     return (shared & earlier).any(1)
 
 
-def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each value of the first column.  Equal values come together."""
+def grouped(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """The rows of each value of the first column (in pieces of some ``most`` rows).  Equal values come together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -295,7 +325,7 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         key = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and held[-1].column(0)[0] != batch.column(0)[a]:
+            if held and (held[-1].column(0)[0] != batch.column(0)[a] or most and sum(map(len, held)) >= most):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
@@ -303,9 +333,31 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with those of a region together.  Their tasks compute far more than they read, so small ones aren't joined."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region").sortWithinPartitions("region")
+
+
 def _sigs(column: pa.Array | pa.ChunkedArray, hashes: int) -> np.ndarray:
     """Signatures as rows of 16-bit hashes."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), hashes)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(whole):
+        return np.zeros((0, hashes), "<u2")
+    # Binary cells follow each other in one buffer, and all have one size.
+    _, offsets, data = whole.buffers()
+    start = int.from_bytes(memoryview(offsets)[4 * whole.offset : 4 * whole.offset + 4], "little")
+    return np.frombuffer(data, "<u2", len(whole) * hashes, start).reshape(len(whole), hashes)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes of each row of x agree with those of each row of y."""
+    same = x[:, None] == y[None]
+    if same.shape[2] % 8:
+        return same.sum(2)
+    # Eight flags a word: sums of words are sums of each byte, at most 32 for 256 hashes; then pairs of bytes, and all.
+    total = same.view(np.uint64).sum(2)
+    pairs = (total & np.uint64(0x00FF00FF00FF00FF)) + (total >> np.uint64(8) & np.uint64(0x00FF00FF00FF00FF))
+    return (pairs * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
 
 
 def _small(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
@@ -334,21 +386,21 @@ def _small(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
             # The next batch may go on with the last region.
             held = tuple(x[-FEW:] for x in rows)
 
-    return members.select("region", "rep", "tree", "deep", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return dealt(members.select("region", "rep", "tree", "deep", "sig")).mapInArrow(run, "a long, b long").distinct()
 
 
 def region_pairs(tree: int, deep: np.ndarray, sigs: np.ndarray, forest: Forest, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of a region that are to be compared in it: their places, and their estimates."""
-    n = len(sigs)
+    n, enough = len(sigs), least * forest.hashes
     step = max(1, PAIRS_AT_ONCE // max(1, n))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for a in range(0, n - 1, step):
-        equal = sigs[a : min(n - 1, a + step), None] == sigs[None, a + 1 :]
-        e = equal.mean(2)
-        i, j = np.nonzero(e >= least)
+        e = agreeing(sigs[a : min(n - 1, a + step)], sigs[a + 1 :])
+        i, j = np.nonzero(e >= enough)
         i, j = i[j >= i], j[j >= i]
         if tree > 0 and len(i):
-            new = ~met_before(equal[i, j], np.full(len(i), tree), deep[a + i], forest)
+            equal = sigs[a + i] == sigs[a + 1 + j]
+            new = ~met_before(equal, np.full(len(i), tree), deep[a + i], forest)
             i, j = i[new], j[new]
         found.append((a + i, a + 1 + j, e[i, j]))
     first, second, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -361,10 +413,11 @@ def facing_pairs(side: np.ndarray, root: np.ndarray, sigs: np.ndarray, least: fl
     left, right = (np.arange(len(side)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    enough = least * sigs.shape[1]
     for a in range(0, len(left), step):
         x, y = left[a : a + step], right[a:] if within else right
-        e = (sigs[x, None] == sigs[None, y]).mean(2)
-        i, j = np.nonzero((e >= least) & (root[x, None] != root[None, y]))
+        e = agreeing(sigs[x], sigs[y])
+        i, j = np.nonzero((e >= enough) & (root[x, None] != root[None, y]))
         if within:
             i, j = i[j > i], j[j > i]
         found.append((x[i], y[j], e[i, j]))
@@ -398,7 +451,7 @@ def _needed(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
             yield from pa.concat_tables(held).combine_chunks().to_batches()
 
     names = ["region", "rep", *(["side", "root"] if "side" in members.columns else ["tree", "deep"]), "sig"]
-    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, f"region long, rep long, {names[2]} int, {names[3]} long, sig binary")
+    return dealt(members.select(*names)).mapInArrow(run, f"region long, rep long, {names[2]} int, {names[3]} long, sig binary")
 
 
 def region_links(group: pa.Table, sets: Sets, forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
@@ -438,7 +491,7 @@ def _large(members: DataFrame, forest: Forest, shingler: Callable, percent: int)
         yield made(links)
 
     names = ["region", "rep", *(["side", "root"] if "side" in members.columns else ["tree", "deep"]), "sig", "text"]
-    return members.select(*names).repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return dealt(members.select(*names)).mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable, percent: int) -> DataFrame:
@@ -460,42 +513,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable, percent:
     return two.mapInArrow(run, "a long, b long")
 
 
-def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable, percent: int, carry: bool = False) -> DataFrame:
+def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable, percent: int, carry: bool = False, prefixes: Column | None = None, binary: Column | None = None) -> DataFrame:
     """node and root of every rep that is linked to a smaller one.
 
     reps: rep and sig.  texts: makes rep and text of a table of wanted reps.  shingler: makes what turns a
-    text into a set (a call) and tells whether two sets are linked.  carry: see regions.
+    text into a set (a call) and tells whether two sets are linked.  carry, prefixes, binary: see regions.
     """
-    found, hot = regions(reps, forest, carry)
+    found, hot = regions(reps, forest, carry, prefixes, binary)
     members = stash(found)
     signed = (lambda x: x) if carry else (lambda x: x.join(reps, "rep"))
     few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
     pairs = stash(_small(signed(few), forest, percent))
-    needed = stash(_needed(signed(many), forest, percent))
+    compared_ = _needed(signed(many), forest, percent)
+    needed = stash(compared_ if hot is None else compared_.unionByName(_again(hot, forest, percent)))
     wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct())
     full = stash(texts(wanted))
     links = _confirmed(pairs, full, shingler, percent).unionByName(_large(needed.join(full, "rep"), forest, shingler, percent))
     if hot is None:
         return components(links)
     linked = stash(components(links))
-    needed = stash(_needed(facing(hot, linked), forest, percent))
+    needed = stash(_needed(facing(hot.drop("tree"), linked), forest, percent))
     full = texts(stash(needed.select("rep").distinct()))
     more = _large(needed.join(full, "rep"), forest, shingler, percent)
     return components(linked.toDF("a", "b").unionByName(more))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep and text of the wanted ids.  A Bloom filter of the ids is tested where the texts are read,
+    """rep and text of the wanted ids.  A filter of the ids is tested where the texts are read,
     so that hardly any other text moves."""
-    count = wanted.count()
-    words = max(1, count // 3)
-    at = F.pmod(F.xxhash64(F.col("rep"), F.lit(3)), F.lit(words))
-    bit = F.pmod(F.xxhash64(F.col("rep"), F.lit(4)), F.lit(64)).cast("int")
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
-    if words <= MAX_BROADCAST_WORDS:
-        bits = wanted.select(at.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-        source = source.withColumn("word", at).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).select("rep", "text")
-    return source.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    return filtered(source, F.col("rep"), wanted, F.col("rep")).join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -504,23 +551,21 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     some = feats.where("n_shingles > 0")
     classes = stash(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     named = classes.where("rep IS NOT NULL")
-    reps = stash(some.join(named.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]))
+    # By the id of the class's first row, of which there is one: a class of many copies is no hot key here.
+    first = named.select(F.col("rep").alias("doc_id"), "k1", "k2", "rep")
+    reps = stash(some.select("doc_id", "k1", "k2", "sig").join(first, ["doc_id", "k1", "k2"]).select("rep", "sig").dropDuplicates(["rep"]))
     linked_ = roots(reps, lambda wanted: texts_of(docs, wanted), DOCUMENTS, partial(Shingler, shingle), percent)
-    rooted = named.join(linked_.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
+    rooted = named.join(linked_.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     # Only classes of several rows, or that were linked, need to be looked up again.
-    told = rooted.join(named.select("k1", "k2", "rep"), ["k1", "k2"]).where("n > 1 OR component_id <> rep").select("k1", "k2", "component_id")
-    out = feats.select("doc_id", "n_shingles", "k1", "k2").join(told, ["k1", "k2"], "left")
+    told = rooted.where("n > 1 OR component_id <> rep").select("k1", "k2", "component_id")
+    out = some.select("doc_id", "n_shingles", "k1", "k2").join(told, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Texts without words are linked with nothing and go round the join.
+    return out.unionByName(feats.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group left, all columns kept.
-
-    The ids that go are broadcast if their counted number allows it, and else joined by a shuffle.
-    """
-    key = fresh(docs, "gone")
-    gone = stash(groups(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct())
-    if gone.count() <= MAX_BROADCAST_WORDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
+    """docs with one document of each group left, all columns kept.  Texts that stay don't move (see without)."""
+    gone = stash(groups(docs, shingle, percent).where("NOT kept").select("doc_id").distinct())
+    return without(docs, gone, MAX_BROADCAST_ROWS, 64 * MAX_BROADCAST_WORDS)
