@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared by their sets of seven-character shingles.  A signature of 48 minhashes makes 16
-bands of three: two lines of similarity 0.8 share a band with probability 0.99999.
-Candidates are confirmed by their exact Jaccard similarity, and of each component of confirmed links
+bands of three: two lines of similarity 0.8 share a band with probability 0.99999.  Of pairs at 0.8
+another 2e-4 are lost since their estimate is four standard deviations low.  Candidates are confirmed by their exact Jaccard similarity, and of each component of confirmed links
 (distributed star contraction) the line that comes first (by document, then place) stays, once in the
 whole corpus.
 
@@ -15,7 +15,8 @@ the texts of documents don't move at all unless the lines that go are too many t
 Defined cases: lines are compared after trimming spaces, tabs and carriage returns; blank lines always
 stay and count as lines; a null text has no line and stays null, an empty one has one blank line; a
 null doc_id sorts first; rows that repeat doc_id and text are the same lines, so all of them keep what
-the first keeps; columns of the input named n_lines or n_kept are replaced.
+the first keeps; rows that repeat a doc_id (or have none) with other texts lose their own lines only, and equal
+lines at the same place of such rows count as one and all stay; columns of the input named n_lines or n_kept are replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, named, stash, text_of
-from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, roots
+from .common import bit_filter, bounded_batches, filter_bits, fresh, maybe_in, named, stash, steps, text_of
+from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, filtered, roots
 
 SHINGLE, PERCENT = 7, 80
-LINES = Forest(16, 3, (3, 6, 9, 12), (1, 3, 3, 1))
+LINES = Forest(16, 3, (3,), (1, 3))
+#: Characters of different lines that a task gathers before it hashes them and counts anew.
+GATHERED = 1 << 22
+#: Bytes of masks that are broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 #: Characters whose shingles are hashed at once, so that the arrays stay in a core's cache.
 STEP = 1 << 16
 TRIM = " \t\r"
@@ -104,101 +109,198 @@ def _cut(text: str) -> tuple[list[int], list[str]]:
     return places, [lines[i] for i in places]
 
 
-def _places(docs: DataFrame, signed: bool, text: bool = False) -> DataFrame:
-    """doc_id, at, k1 and k2 (the line's digest) of every line, with its signature or its text if asked for."""
-    names = ["doc_id", "at", "k1", "k2", *(["sig"] if signed else []), *(["line"] if text else [])]
+#: The digest of a line, and the 128-bit number by which places (document, then line) are in order.
+DIGEST = "k1 long, k2 long"
+PLACE = "decimal(38,0)"
 
-    def made(ids: list, places: list, lines: list[str]) -> pa.RecordBatch:
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines), np.int64).reshape(-1, 2)
-        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
-        if signed:
-            sig = signatures(lines)
-            width = sig.itemsize * sig.shape[1]
-            columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(np.arange(0, width * (len(lines) + 1), width, np.int32)), pa.py_buffer(sig)]))
-        if text:
-            columns.append(pa.array(lines, pa.string()))
-        return pa.RecordBatch.from_arrays(columns, names)
+
+def _digests(lines: list[str]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _numbers(values: list[int]) -> pa.Array:
+    raw = b"".join(v.to_bytes(16, "little", signed=True) for v in values)
+    return pa.Array.from_buffers(pa.decimal128(38), len(values), [None, pa.py_buffer(raw)])
+
+
+def _first_place(doc: int | None) -> int:
+    """The place of a document's line 0.  No document comes before a null one."""
+    return (-(1 << 63) - 1 if doc is None else doc) << 32
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """k1, k2, n, the first place and the signature (a struct of one number a band) of each different line.
+
+    Tasks count lines before they hash them, so that a line of many documents is hashed and sent once a task;
+    all that is aggregated after that has a fixed width.
+    """
+    bands = [f"b{k}" for k in range(LINES.trees)]
+    names = ["k1", "k2", "n", "place", *bands]
+
+    def made(held: dict[str, list[int]]) -> pa.RecordBatch:
+        lines = list(held)
+        sigs = [signatures(lines[a:b]) for a, b in steps(lines, STEP)]
+        packed = np.zeros((len(lines), LINES.trees, 4), "<u2")
+        packed[:, :, : LINES.step] = np.concatenate(sigs).reshape(len(lines), LINES.trees, LINES.step)
+        longs = packed.view(np.int64)[:, :, 0]
+        counts, places = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([*_digests(lines), pa.array(counts, pa.int64()), _numbers(places), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(LINES.trees))], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = {}, 0
         for batch in batches:
-            ids, places, lines, chars = [], [], [], 0
             for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first = _first_place(doc)
+                for at, line in zip(*_cut(cell.as_py()), strict=True):
+                    known = held.get(line)
+                    if known is None:
+                        held[line] = [1, first + at]
+                        chars += len(line) + 50
+                        if chars > GATHERED:
+                            yield made(held)
+                            held, chars = {}, 0
+                    else:
+                        known[0] += 1
+                        known[1] = min(known[1], first + at)
+        if held:
+            yield made(held)
+
+    schema = f"{DIGEST}, n long, place {PLACE}, " + ", ".join(f"{b} long" for b in bands)
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+    same = parts.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("place").alias("place"), *(F.max(b).alias(b) for b in bands))
+    return same.select("k1", "k2", "n", "place", F.struct(*bands).alias("sig"))
+
+
+def _places(docs: DataFrame, text: bool = False) -> DataFrame:
+    """doc_id, whole (a hash of the text), at, k1 and k2 (the line's digest) of every line, with its text if asked for."""
+    names = ["doc_id", "whole", "at", "k1", "k2", *(["line"] if text else [])]
+
+    def made(ids: list, wholes: list, places: list, lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(wholes, pa.int64()), pa.array(places, pa.int32()), *_digests(lines), *([pa.array(lines, pa.string())] if text else [])], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wholes, places, lines, chars = [], [], [], [], 0
+            for doc, whole, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 at, own = _cut(cell.as_py())
                 for i in range(0, len(own), 1000):  # a long document's lines in steps too
-                    ids += [doc] * len(own[i : i + 1000])
+                    some = own[i : i + 1000]
+                    ids += [doc] * len(some)
+                    wholes += [whole] * len(some)
                     places += at[i : i + 1000]
-                    lines += own[i : i + 1000]
-                    chars += sum(map(len, own[i : i + 1000]))
-                    if chars > STEP:
-                        yield made(ids, places, lines)
-                        ids, places, lines, chars = [], [], [], 0
+                    lines += some
+                    chars += sum(map(len, some))
+                    if chars > 16 * STEP:
+                        yield made(ids, wholes, places, lines)
+                        ids, wholes, places, lines, chars = [], [], [], [], 0
             if lines:
-                yield made(ids, places, lines)
+                yield made(ids, wholes, places, lines)
+
+    schema = f"doc_id long, whole long, at int, {DIGEST}" + ", line string" * text
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _whole().alias("whole"), text_of().alias("text")).mapInArrow(run, schema)
+
 
-    schema = "doc_id long, at int, k1 long, k2 long" + ", sig binary" * signed + ", line string" * text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+def _whole() -> Column:
+    """A hash of the text: rows that repeat an id with other texts have places of their own."""
+    return F.xxhash64(text_of(), F.octet_length(text_of()))
 
 
-def _bloom(rows: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
-    """Those rows whose columns may be in keys: a Bloom filter, where its checked size allows a broadcast."""
-    words = max(1, keys.count() // 3)
-    if words > MAX_BROADCAST_WORDS:
+def _filtered(rows: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """Those rows whose columns may be in keys."""
+    if not MAX_BROADCAST_WORDS:
         return rows
-    word, bit = F.pmod(F.xxhash64(*columns, F.lit(3)), F.lit(words)), F.pmod(F.xxhash64(*columns, F.lit(4)), F.lit(64)).cast("int")
-    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit(F.col("bits"), bit) == 1).select(*rows.columns)
+    return filtered(rows, F.xxhash64(*columns), keys, F.xxhash64(*columns))
+
+
+#: The place of a line whose document (null: before all) and number are known, and the other way round.
+_PLACE = f"cast(coalesce(cast(doc_id AS decimal(20,0)), {-(1 << 63) - 1}BD) * 4294967296BD + at AS {PLACE})"
+_AT = "cast(pmod(place, 4294967296BD) AS int)"
+_DOC = f"CASE WHEN place >= {-(1 << 95)}BD THEN cast((place - pmod(place, 4294967296BD)) / 4294967296BD AS long) END"
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """doc_id and places (sorted) of the lines that go."""
+    """doc_id, whole (a hash of the text) and places (sorted) of the lines that go."""
     bounded_batches(docs.sparkSession)
-    first = F.min(F.struct("doc_id", "at"))
-    classes = _places(docs, signed=True).groupBy("k1", "k2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
-    names = stash(classes.select("k1", "k2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), F.monotonically_increasing_id().alias("rep"), "sig"))
+    names = stash(_classes(docs).withColumn("rep", F.monotonically_increasing_id()))
 
     def texts(wanted: DataFrame) -> DataFrame:
-        keys = stash(_bloom(names.select("rep", "doc_id", "at", "k1", "k2"), ["rep"], wanted).join(wanted, "rep", "left_semi"))
-        some = _bloom(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], keys)
-        lines = _bloom(_places(some, signed=False, text=True), ["k1", "k2"], keys)
-        by = ["at", "k1", "k2"]
-        lines = lines.withColumnRenamed("doc_id", "d")
-        return lines.join(keys, by).where(F.col("d").eqNullSafe(F.col("doc_id"))).select("rep", F.col("line").alias("text"))
-
-    linked = roots(names.select("rep", "sig"), texts, LINES, LineSets, PERCENT, carry=True)
-    told = _keepers(names.select("rep", "k1", "k2", "n", "doc_id", "at"), linked)
-    lines = _bloom(_places(docs, signed=False), ["k1", "k2"], told.select("k1", "k2")).join(told, ["k1", "k2"])
-    gone = lines.where(~F.struct("doc_id", "at").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"))
+        keys = names.select("rep", "place", "k1", "k2")
+        keys = stash(_filtered(keys, ["rep"], wanted).join(wanted, "rep", "left_semi").select("rep", "k1", "k2", F.expr(_DOC).alias("doc_id"), F.expr(_AT).alias("at")))
+        some = _filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], keys)
+        lines = _filtered(_places(some, text=True), ["k1", "k2"], keys)
+        # Of rows that repeat an id several may have the line there: one is enough.
+        lines = lines.withColumnRenamed("doc_id", "d").join(keys, ["k1", "k2", "at"]).where(F.col("d").eqNullSafe(F.col("doc_id")))
+        return lines.select("rep", F.col("line").alias("text")).dropDuplicates(["rep"])
+
+    bands = [F.col(f"sig.b{k}") for k in range(LINES.trees)]
+    # The same hashes in another order, which all signatures have.
+    binary = F.unhex(F.concat(*(F.lpad(F.hex(b), 4 * LINES.step, "0") for b in bands)))
+    linked = roots(names.select("rep", "sig"), texts, LINES, LineSets, PERCENT, carry=True, prefixes=F.array(*bands), binary=binary)
+    told = _keepers(names.select("rep", "k1", "k2", "n", "place"), linked)
+    lines = _filtered(_places(docs), ["k1", "k2"], told).join(told, ["k1", "k2"])
+    gone = lines.where(f"{_PLACE} <> keep")
+    return gone.groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("at")).alias("places"))
 
 
 def _keepers(names: DataFrame, linked: DataFrame) -> DataFrame:
-    """k1, k2 and keep (doc_id, at) of each class that isn't alone with one line."""
+    """k1, k2 and keep (a place) of each class that isn't alone with one line."""
     # Only linked classes and their roots need another aggregation.
     roots_ = linked.select(F.col("root").alias("rep")).distinct().select("rep", F.col("rep").alias("root"))
     in_groups = stash(linked.select(F.col("node").alias("rep"), "root").unionByName(roots_))
-    grouped = stash(_bloom(names, ["rep"], in_groups).join(in_groups, "rep").select("rep", "root", "k1", "k2", "doc_id", "at"))
+    grouped = stash(_filtered(names, ["rep"], in_groups).join(in_groups, "rep").select("rep", "root", "k1", "k2", "place"))
     # Written, so that the join has an exchange on either side and Spark can split a large group.
-    keep = stash(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("keep")))
+    keep = stash(grouped.groupBy("root").agg(F.min("place").alias("keep")))
     several = grouped.join(keep, "root").select("k1", "k2", "keep")
-    alone = names.where("n > 1").join(in_groups, "rep", "left_anti").select("k1", "k2", F.struct("doc_id", "at").alias("keep"))
+    alone = names.where("n > 1").join(in_groups, "rep", "left_anti").select("k1", "k2", F.col("place").alias("keep"))
     return stash(several.unionByName(alone))
 
 
+def _masks(gone: DataFrame) -> DataFrame:
+    """gone with mask, a byte a line up to the last that goes (1: goes), in place of the places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = []
+            for places in batch.column(2):
+                at = places.values.to_numpy()
+                mask = np.zeros(at[-1] + 1, np.uint8)
+                mask[at] = 1
+                masks.append(mask.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], ["doc_id", "whole", "mask"])
+
+    return gone.select("doc_id", "whole", "places").mapInArrow(run, "doc_id long, whole long, mask binary")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the lines that stay as text, n_lines and n_kept."""
-    key, places = fresh(docs, "key"), fresh(docs, "places")
-    gone = stash(dropped(docs.select("doc_id", "text"))).select(F.col("doc_id").alias(key), F.col("places").alias(places))
-    # Places of lines: four bytes each, and a row a document that loses lines.
-    size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
-    if size <= MAX_BROADCAST_WORDS:
-        gone = F.broadcast(gone)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    """docs with the lines that stay as text, n_lines and n_kept.
+
+    Masks of up to MAX_BROADCAST_BYTES in all are broadcast.  More are joined by a shuffle, but only with the
+    documents that may have one: a filter lets the others pass.
+    """
+    own, key, hashed, mask, maybe = (fresh(docs, x) for x in ("own", "key", "hashed", "mask", "maybe"))
+    gone = stash(_masks(dropped(docs.select("doc_id", "text")))).select(F.col("doc_id").alias(key), F.col("whole").alias(hashed), F.col("mask").alias(mask))
+    size = gone.agg(F.coalesce(F.sum(F.length(mask) + 32), F.lit(0))).first()[0]
+    keyed = docs.withColumn(own, _whole())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed))
+    columns = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_kept")]
     lines = F.split(F.col("text").cast("string"), "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col(places), i))
-    some = F.col(places).isNotNull()
-    kept = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_kept")]
     count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
-    return joined.select(*named(kept), F.when(some, F.array_join(left, "\n")).otherwise(F.col("text").cast("string")).alias("text"), count(lines).alias("n_lines"), F.when(some, count(left)).otherwise(count(lines)).alias("n_kept"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select(*named(columns), F.col("text").cast("string").alias("text"), count(lines).alias("n_lines"), count(lines).alias("n_kept"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        left = F.filter(lines, lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\x01"))
+        some = F.col(mask).isNotNull()
+        return rows.select(*named(columns), F.when(some, F.array_join(left, "\n")).otherwise(F.col("text").cast("string")).alias("text"), count(lines).alias("n_lines"), F.when(some, count(left)).otherwise(count(lines)).alias("n_kept"))
+
+    if size <= MAX_BROADCAST_BYTES or not MAX_BROADCAST_WORDS:
+        return cut(keyed.join(F.broadcast(gone) if size <= MAX_BROADCAST_BYTES else gone, same, "left"))
+    bits = filter_bits(gone.count(), most=64 * MAX_BROADCAST_WORDS)
+    both = F.xxhash64(F.col("doc_id").cast("long"), own)
+    marked = maybe_in(keyed, both, bit_filter(gone, F.xxhash64(key, hashed), bits), bits, maybe)
+    return whole(marked.where(~F.col(maybe))).unionByName(cut(marked.where(maybe).join(gone, same, "left")))
 
 
 def report(docs: DataFrame) -> DataFrame:
