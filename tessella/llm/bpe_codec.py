@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The lexicon holds the most frequent words of the corpus (counted over all of it) and their id
-sequences.  It is a minimal acyclic automaton: words share prefixes and suffixes, arcs carry integer
+The lexicon holds the most frequent words of the corpus and their id sequences.  Each task counts the
+words of its texts and sends its TASK_WORDS most frequent ones, so what is shuffled grows with the tasks
+and not with the text; a word that is frequent nowhere may be missing, which costs its merges only.  It is a minimal acyclic automaton: words share prefixes and suffixes, arcs carry integer
 outputs whose sum along a word is the word's row in a table of id sequences.  The arrays are one file in
 the shared folder, which Spark hands to each executor that needs it; the Python workers there
 memory-map it and so share its pages.  Words that the lexicon lacks are merged exactly by merge rank.
@@ -19,6 +20,7 @@ import json
 import mmap
 import os
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +33,10 @@ from .common import bounded_batches, fresh, map_arrow, named, shared_path, stash
 
 #: Words in the lexicon.  They only make encoding faster; any number gives the same ids.
 LEXICON_WORDS = 1 << 16
-#: Merged words that a worker remembers.
-MEMO_WORDS = 300_000
+#: Words that a task sends, and that it counts at once (half of them stay when there are more).
+TASK_WORDS, HELD_WORDS = 1 << 15, 1 << 19
+#: Merged words that a worker remembers, and the characters of the longest that is counted or remembered.
+MEMO_WORDS, LONGEST = 300_000, 32
 
 #: The pattern of byte-level BPE with the classes of the code points below U+0250 written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -232,7 +236,9 @@ class Codec:
         if ids is None:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            ids = self.memo[word] = self.vocabulary.merged(word)
+            ids = self.vocabulary.merged(word)
+            if len(word) <= 4 * LONGEST:
+                self.memo[word] = ids
         return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,14 +283,35 @@ class Codec:
         return [blob[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _kept(counts: Counter, most: int) -> Counter:
+    """The most frequent words, less the count of the first that goes (Misra and Gries 1982): no word is counted
+    too often, and none too low by more than all counts divided by ``most``."""
+    top = counts.most_common(most + 1)
+    less = top[most][1] if len(top) > most else 0
+    return Counter({w: n - less for w, n in top if n > less})
+
+
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all texts, at most ``words``, between spaces and line ends.
 
-    Partial aggregation leaves one row a word and task to shuffle; the driver gets a histogram of the
-    counts, and then only the words of the lexicon.
+    The driver gets a histogram of the counts, and then only the words of the lexicon.
     """
-    word = docs.select(F.explode(F.split(text_of(), "[ \\n]")).alias("w")).where(F.length("w").between(1, 32))
-    counts = stash(word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for cell in batch.column(0):
+                found = cell.as_py().split()
+                if found and len(max(found, key=len)) > LONGEST:
+                    found = [w for w in found if len(w) <= LONGEST]
+                counts.update(found)
+                if len(counts) > HELD_WORDS:
+                    counts = _kept(counts, HELD_WORDS // 2)
+        top = [(w, n) for w, n in counts.most_common(TASK_WORDS) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
+
+    counts = stash(docs.select(text_of().alias("text")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     # How many words are how frequent (in at most a thousand steps), then those above the step that fits.
     step = F.when(F.col("n") < 500, F.col("n")).otherwise(F.least(F.lit(1000), 500 + F.floor(20 * F.log2(F.col("n") / 500)))).cast("int")
     least, total = 1001, 0
