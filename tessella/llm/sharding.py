@@ -9,15 +9,22 @@ pass; cells of one text alone go on with the hash of the id.  Then all rows move
 their shard that the splitters name, and the exact counts give each part its first slot.
 
 Equal texts are neighbours in the key order, so they share a shard unless a splitter must cut their
-group to stay within ``whole`` of the wanted size.
+group to stay within ``whole`` of the wanted size.  Rows that are equal in text and id have one key, which no
+splitter can cut.  Where they are too many for a part, or a splitter falls among them, they are written to the
+shared folder and numbered there (by the task that wrote them, then by place), and their number takes the place of
+the key's last digits: such rows are dealt out by arithmetic, without an exchange.
 
-Defined cases: a null text has no bytes and size 1; rows that repeat text and id share a key, hence a
-shard; null ids are hashed like any id; an empty table gives an empty result; columns of the input
+Parts have 128 MB, or 1/2**18 of all bytes if that is more.
+
+Defined cases: a null text has no bytes and size 1; rows that repeat text and id share a key, and a
+shard if they are TOGETHER at most; null ids are hashed like any id; an empty table gives an empty result; columns of the input
 named shard or slot are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -29,6 +36,8 @@ from .common import fresh, named, stash, text_of
 FIRST, MORE = 16, 12
 #: Bytes that one task should sort, if the histogram's first cells can be as small.
 PART_BYTES = 128 << 20
+#: Rows that are equal in text and id stay together if they are no more than this.
+TOGETHER = 64
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -44,11 +53,17 @@ class Cell:
     bits: int
     size: int
     rows: int
+    #: Of rows with one key: the number of the first.
+    first: int = 0
 
     @property
     def splits(self) -> bool:
         return self.bits > 0
 
+    @property
+    def order(self) -> tuple[int, int, int]:
+        return self.hlo, self.dlo, self.first
+
 
 def _digit(axis: str, first: str, x: str, lo: str, shift: str) -> str:
     return f"CASE WHEN {first} THEN shiftright({x}, {64 - FIRST}) ELSE shiftright({x} - {lo}, {shift}) END"
@@ -76,12 +91,21 @@ def _cell(parent: Cell | None, r, lo: int, bits: int) -> Cell:
     return Cell(lo, lo + (1 << bits) - 1, LOW, HIGH, 0, bits, r.bytes, r.n)
 
 
-def _refined(keys: DataFrame, cells: list[Cell]) -> list[Cell]:
-    """Finer cells in place of the given ones: one pass over the keys."""
+def _pieces(cell: Cell, wanted: list[float], before: int) -> list[Cell]:
+    """A cell of equal rows, cut by their numbers at the rows nearest to the wanted splitters.  before: bytes before the cell."""
+    each = cell.size // cell.rows
+    cuts = sorted({0, cell.rows, *(min(cell.rows, round((w - before) / each)) for w in wanted if before < w < before + cell.size)})
+    return [Cell(cell.hlo, cell.hhi, cell.dlo, cell.dhi, 2, 0, (b - a) * each, b - a, a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _refined(keys: DataFrame, cells: list[Cell], most: float, exact: set[int]) -> list[Cell]:
+    """Finer cells in place of the given ones: one pass over the keys.  Those in exact (by number) hold a splitter,
+    and become as fine as a pass can make them, the others as fine as ``most`` asks for."""
     spark = keys.sparkSession
     table = []
     for number, c in enumerate(cells):
-        shift = c.bits - (FIRST if c.bits == 64 else min(MORE, c.bits))
+        more = MORE if number in exact else min(MORE, 1 + math.ceil(math.log2(max(2, c.size / most))))
+        shift = c.bits - (FIRST if c.bits == 64 else min(more, c.bits))
         table.append((number, c.hlo >> (64 - FIRST), c.hlo, c.hhi, c.dlo, c.dhi, c.axis, c.bits == 64, shift))
     # At most one row a cell of the histogram: bounded by the number of cells, whatever the input.
     probes = spark.createDataFrame(table, "cell int, bin long, hlo long, hhi long, dlo long, dhi long, axis int, whole boolean, shift int")
@@ -108,28 +132,39 @@ def histogram(keys: DataFrame, shards: int, tolerance: float, whole: float, part
 
     keys: h, d and size.
     """
-    import bisect
-
-    cells = sorted(_first(keys), key=lambda c: (c.hlo, c.dlo))
+    cells = sorted(_first(keys), key=lambda c: c.order)
     total = sum(c.size for c in cells)
     wanted = [total * k / shards for k in range(1, shards)]
-    most = max(min(PART_BYTES, total / max(1, parts)), total / (1 << (FIRST - 2)))
+    most = _most(total, parts)
     while True:
         edges = _edges(cells)
         finer = {i for i, c in enumerate(cells) if c.splits and c.rows > 1 and c.size > most}
-        at = []
+        equal = {i for i, c in enumerate(cells) if not c.splits and c.axis < 2 and c.rows > TOGETHER and c.size > most}
+        at, exact = [], set()
         for w in wanted:
             i = bisect.bisect_right(edges, w) - 1
             nearest = i if i + 1 >= len(edges) or w - edges[i] <= edges[i + 1] - w else i + 1
             at.append(nearest)
             if i < len(cells):
                 bound = (whole if cells[i].axis else tolerance) * total / shards
-                if cells[i].splits and cells[i].rows > 1 and abs(w - edges[nearest]) > bound:
-                    finer.add(i)
-        if not finer:
+                if cells[i].axis < 2 and cells[i].rows > 1 and abs(w - edges[nearest]) > bound:
+                    if cells[i].splits:
+                        finer.add(i)
+                        exact.add(i)
+                    elif cells[i].rows > TOGETHER:
+                        equal.add(i)
+        if not finer and not equal:
             return cells, at
-        kept = [c for i, c in enumerate(cells) if i not in finer]
-        cells = sorted([*kept, *_refined(keys, [cells[i] for i in sorted(finer)])], key=lambda c: (c.hlo, c.dlo))
+        made = [p for i in equal for p in _pieces(cells[i], wanted, edges[i])]
+        if finer:
+            coarse = sorted(finer)
+            made += _refined(keys, [cells[i] for i in coarse], most, {k for k, i in enumerate(coarse) if i in exact})
+        cells = sorted([*(c for i, c in enumerate(cells) if i not in finer and i not in equal), *made], key=lambda c: c.order)
+
+
+def _most(total: int, parts: int) -> float:
+    """The bytes of a part."""
+    return max(min(PART_BYTES, total / max(1, parts)), total / (1 << 18))
 
 
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, whole: float = 0.01) -> DataFrame:
@@ -144,17 +179,26 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, whole: flo
     cells, splits = histogram(keys, shards, tolerance, whole, max(tasks, shards))
     # Parts: runs of cells of one shard.  (shard, first slot, first key) by number.
     total = sum(c.size for c in cells)
-    most = max(min(PART_BYTES, total / max(tasks, shards)), total / (1 << (FIRST - 2)))
+    most = _most(total, max(tasks, shards))
+    #: Pieces of keys whose rows go by their numbers: h, d, first number, one past the last, shard, first slot.
+    dealt: list[tuple[int, int, int, int, int, int]] = []
     parts: list[tuple[int, int, int]] = []
     bins: dict[int, list] = {}
-    at, size, slot = 0, 0.0, 0
+    at, size, slot, fresh_part = 0, 0.0, 0, True
     for i, c in enumerate(cells):
         before = at
         while at < len(splits) and splits[at] <= i:
             at += 1
-        if not parts or at != before or size + c.size > most:
-            if at != before or not parts:
-                slot = 0
+        if at != before or not i:
+            slot = 0
+        if c.axis == 2:
+            # No more than one a key and shard.
+            dealt.append((c.hlo, c.dlo, c.first, c.first + c.rows, at, slot))
+            slot += c.rows
+            fresh_part = True
+            continue
+        if fresh_part or at != before or size + c.size > most:
+            fresh_part = False
             parts.append((len(parts), at, slot))
             size = 0.0
             bins.setdefault(c.hlo >> (64 - FIRST), [len(parts) - 2, []])[1].append((c.hlo, c.dlo))
@@ -169,11 +213,35 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, whole: flo
     offsets = spark.createDataFrame(parts, f"{part} int, shard int, before long")
     before = fresh(docs, "before")
     offsets = offsets.withColumnRenamed("before", before)
+    if dealt:
+        numbered, keyed = _numbered(keyed, h, d, dealt, kept)
     number = F.col(first) + F.size(F.filter(F.col(starts), lambda s: s <= F.struct(F.col(h).alias("h"), F.col(d).alias("d"))))
     placed = keyed.withColumn(bin_, F.expr(f"shiftright({h}, {64 - FIRST})")).join(F.broadcast(bounds), bin_).withColumn(part, number.cast("int")).drop(bin_, first, starts)
     rank = F.row_number().over(Window.partitionBy(part).orderBy(h, d, "doc_id"))
     slots = placed.withColumn("slot", rank.cast("long"))
-    return slots.join(F.broadcast(offsets), part).select(*named(kept), "shard", (F.col("slot") - 1 + F.col(before)).alias("slot"))
+    out = slots.join(F.broadcast(offsets), part).select(*named(kept), "shard", (F.col("slot") - 1 + F.col(before)).alias("slot"))
+    return out.unionByName(numbered) if dealt else out
+
+
+def _numbered(keyed: DataFrame, h: str, d: str, dealt: list[tuple[int, int, int, int, int, int]], kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that are cut by number, with shard and slot; and the other rows.
+
+    A task numbers its own rows of a key; how many the tasks before it have of that key is a sum over a row a
+    task and key.
+    """
+    spark = keyed.sparkSession
+    mark, task, at, n, start, stop, base = (fresh(keyed, x) for x in ("mark", "task", "at", "n", "start", "stop", "base"))
+    # At most a row a shard for each key that is larger than a part.
+    pieces = spark.createDataFrame(dealt, f"{h} long, {d} long, {start} long, {stop} long, shard int, {base} long")
+    hot = pieces.select(h, d).distinct()
+    rows = stash(keyed.join(F.broadcast(hot), [h, d], "left_semi").withColumn(mark, F.monotonically_increasing_id()))
+    own = rows.withColumn(task, F.shiftright(mark, 33))
+    local = Window.partitionBy(h, d, task).orderBy(mark)
+    counts = own.groupBy(h, d, task).agg(F.count(F.lit(1)).alias(n))
+    earlier = counts.select(h, d, task, F.coalesce(F.sum(n).over(Window.partitionBy(h, d).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n))
+    placed = own.withColumn(at, F.row_number().over(local) - 1).join(earlier, [h, d, task]).withColumn(at, F.col(at) + F.col(n))
+    found = placed.join(F.broadcast(pieces), [h, d]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop)))
+    return found.select(*named(kept), "shard", (F.col(base) + F.col(at) - F.col(start)).cast("long").alias("slot")), keyed.join(F.broadcast(hot), [h, d], "left_anti")
 
 
 def report(docs: DataFrame, shards: int = 8) -> DataFrame:

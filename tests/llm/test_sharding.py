@@ -65,3 +65,40 @@ def test_odd_tables(spark):
     out = sharding.shard(clashing(odd_docs(spark)), 3)
     assert same_columns(out, [c for c in CLASHING if c not in ("shard", "slot")])
     assert out.count() == len(ODD)
+
+
+def test_rows_that_are_equal_in_text_and_id(spark):
+    """Half of all bytes are one row again and again: it is cut by number, into gapless slots."""
+    docs = [(7, "same", i) for i in range(4000)] + [(i, f"own {i}", i) for i in range(2000)]
+    out = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string, x long").repartition(5), 8).collect()
+    texts = checked([(r.text, r.shard, r.slot) for r in out], 8)
+    assert len(texts["same"]) >= 4 and len(out) == len(docs)
+    assert sorted((r.doc_id, r.text, r.x) for r in out) == sorted(docs)
+    assert all(len(s) == 1 for t, s in texts.items() if t != "same")
+    alone = sharding.shard(spark.createDataFrame(docs[:4000], "doc_id long, text string, x long").repartition(5), 4).collect()
+    checked([(r.text, r.shard, r.slot) for r in alone], 4)
+    assert len({r.shard for r in alone}) == 4
+
+
+def test_against_splitters_of_sorted_rows(spark):
+    """Shards and slots, by sorting all keys in one list: splitters are where the running sum of bytes is near k parts in all."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choices("abc é", k=rng.randint(0, 300)))) for i in range(2500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = sorted((r.h, r.d, r.doc_id, len((r.text or "").encode()) + 1) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.lit(1)).alias("d")).collect())
+    total = sum(k[3] for k in keys)
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df.repartition(3), 8).collect()}
+    order = [k[2] for k in keys]
+    # In key order, shards follow each other and slots count up from 0 in each.
+    assert [found[i] for i in order] == sorted(found.values())
+    ends, run, shard = {}, 0, 0
+    for _, _, doc, size in keys:
+        if found[doc][0] != shard:
+            ends[found[doc][0]] = run
+            shard = found[doc][0]
+        run += size
+    assert sorted(ends) == list(range(1, 8))
+    # No splitter is farther from its place than the tolerance, or the rows next to it.
+    assert all(abs(ends[k] - total * k / 8) <= max(0.005 * total / 8, 301 * 4) for k in ends)
