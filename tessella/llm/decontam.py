@@ -6,8 +6,9 @@ how far the search may jump after the two words at the end of the current positi
 no window, so it jumps nine words at a time); where the shift is zero, the hash of that last pair
 selects a bucket of windows, and a direct comparison of all words confirms the occurrence.
 
-The benchmark is searched in blocks of bounded size, each broadcast to all tasks; with more than one
-block the hits of a document meet again in one aggregation over its (bounded) word runs.
+The benchmark is searched in blocks of bounded size, one after the other: the driver and the tasks hold one
+at a time, and its hits are written before the next is read.  With more than one block the hits of a document
+meet again in one aggregation over its (bounded) word runs.
 
 Defined cases: null and empty texts have no words and are clean; an item without words is never hit;
 items with equal windows are all reported; a repeated item_id counts once; rows that repeat a doc_id
@@ -108,7 +109,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about limit bytes of text, one block at the driver at a time."""
+    """The items in blocks of about limit bytes of text, at least one block; the driver holds one or two."""
     rows = benchmark.select(F.col("item_id"), text_of().alias("text"))
     block, size = [], 0
     for row in rows.toLocalIterator():
@@ -132,34 +133,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     bounded_batches(spark)
     added = T.StructType.fromDDL(HITS)
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) == 1:
-        return _scanned(docs.select(*named(kept), text_of().alias(fresh(docs, "text"))), parts[0], window, added)
-    # More than one block: each scans all texts and gives rows for hit documents only, which then
-    # meet by a row number.
+    parts = blocks(benchmark, block_bytes)
+    part, rest = next(parts), next(parts, None)
+    if rest is None:
+        return _scanned(docs.select(*named(kept), text_of().alias(fresh(docs, "text"))), part, window, added)
+    # More than one block: each scans all texts, and its hits are written before the next comes; the first
+    # counts the words too.  The hits of a document meet again by a row number.
     number = fresh(docs, "row")
-    rows = stash(docs.select(*named(kept)).withColumn(number, F.monotonically_increasing_id()))
+    rows = stash(docs.select(*named(kept), "text").withColumn(number, F.monotonically_increasing_id()))
     slim = rows.select(number, text_of().alias(fresh(docs, "text")))
-    found = None
-    for part in parts:
-        one = _scanned(slim, part, window, added).where(F.size("items") > 0).select(number, "runs", "items")
-        found = one if found is None else found.unionByName(one)
+    first = stash(_scanned(slim, part, window, added))
+    found = first.where(F.size("items") > 0).select(number, "runs", "items")
+    while rest is not None:
+        part, rest = rest, next(parts, None)
+        found = found.unionByName(stash(_scanned(slim, part, window, added).where(F.size("items") > 0).select(number, "runs", "items")))
     joined = found.groupBy(number).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = _scanned(slim, [], window, added).select(number, "n_words")
     empty = F.array().cast("array<struct<start: int, stop: int>>")
-    apart = _joined_runs(joined.select(number, "runs", "items"))
-    return rows.join(counted, number).join(apart, number, "left").select(*named(kept), "n_words", F.coalesce("runs", empty).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return rows.join(first.select(number, "n_words"), number).join(_joined_runs(joined), number, "left").select(*named(kept), "n_words", F.coalesce("runs", empty).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _joined_runs(found: DataFrame) -> DataFrame:
-    """Runs that overlap or touch become one."""
-    runs = F.array_sort("runs")
-    step = F.aggregate(
-        runs,
-        F.array().cast("array<struct<start: int, stop: int>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["stop"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    return found.withColumn("runs", step)
+    """Runs that overlap or touch become one.  The first column is a number."""
+    number, fields = found.columns[0], T.StructType.fromDDL(HITS)
+    schema = T.StructType([found.schema[0], fields["runs"], fields["items"]])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"start": a, "stop": b} for a, b in merged((x["start"], x["stop"]) for x in cell)] for cell in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, kind), batch.column(2)], schema.names)
+
+    return map_arrow(found.select(number, "runs", "items"), run, schema)
 
 
 def _scanned(source: DataFrame, items: list[tuple[object, str]], window: int, added: T.StructType) -> DataFrame:
