@@ -114,12 +114,33 @@ def format_chats(rows: DataFrame) -> DataFrame:
         out = out.withColumn("formatted", again).withColumn("parsed", F.when(F.col("level") == level, parsed(F.col("formatted"))).otherwise(F.col("parsed")))
     wrong = F.raise_error(F.concat(F.lit("conversation does not parse back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
     out = out.withColumn("formatted", F.when(_same(F.col("turns"), F.col("parsed")), F.col("formatted")).otherwise(wrong))
+    return out.withColumn("loss_spans", _loss_spans(F.col("parsed")))
+
+
+#: Turns whose places are added up one by one; an array grows by a copy, so long conversations go in blocks of so many.
+BLOCK = 256
+
+
+def _loss_spans(turns: Column) -> Column:
+    """Where the assistants' texts stand.  First the width of each block of turns, then the places in each block."""
+    number = F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((size(parsed) - 1) div {BLOCK} AS int)")))
+    blocks = F.transform(number, lambda k: F.slice(turns, k * BLOCK + 1, F.lit(BLOCK)))
+    widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, t: n + t["width"]))
     starts = F.aggregate(
-        "parsed",
-        F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start: int, stop: int>>").alias("spans")),
-        lambda s, t: F.struct((s["at"] + t["width"]).alias("at"), F.when(t["role"] == "assistant", F.concat(s["spans"], F.array(F.struct((s["at"] + t["opening"]).alias("start"), (s["at"] + t["opening"] + t["chars"]).alias("stop"))))).otherwise(s["spans"]).alias("spans")),
-    )
-    return out.withColumn("loss_spans", starts["spans"])
+        widths,
+        F.struct(F.lit(3).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+    )["starts"]
+
+    def placed(block: Column, start: Column) -> Column:
+        span = lambda s, t: F.struct((s["at"] + t["opening"]).alias("start"), (s["at"] + t["opening"] + t["chars"]).alias("stop"))
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), F.array().cast("array<struct<start: int, stop: int>>").alias("spans")),
+            lambda s, t: F.struct((s["at"] + t["width"]).alias("at"), F.when(t["role"] == "assistant", F.concat(s["spans"], F.array(span(s, t)))).otherwise(s["spans"]).alias("spans")),
+        )["spans"]
+
+    return F.flatten(F.zip_with(blocks, starts, placed))
 
 
 def report(rows: DataFrame) -> DataFrame:
