@@ -13,7 +13,7 @@ broadcast: SAMPLE x RANK and TERMS x RANK floats.
 
 Defined cases: a null or empty text, or one without any term of the fit, has the score EMPTY; with
 labels of one kind only every score is that label's; without labels every score is EMPTY; ids that
-repeat in labels count once each.
+repeat in labels count once each, with their least label, and of an id that repeats in docs the fit takes the least text.
 """
 
 from __future__ import annotations
@@ -133,13 +133,15 @@ def _counted(texts: DataFrame, keep: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` labelled rows outside the held-out fold."""
     bounded_batches(docs.sparkSession)
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(11))
     halves = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     # At most ``sample`` rows of two numbers.
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = _counted(texts.select("doc_id", "y", "text"), ["doc_id", "y"]).orderBy("doc_id").limit(sample).toArrow()
+    # Of an id that repeats, the text that is least: the fit depends on the tables alone.
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = _counted(texts, ["doc_id", "y"]).orderBy("doc_id").toArrow()
     counts = np.zeros((rows.num_rows, TERMS + 2), np.float32)
     for i, (at, n) in enumerate(zip(rows.column("at"), rows.column("n"), strict=True)):
         counts[i, at.values.to_numpy()] = n.values.to_numpy()

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, fresh, map_arrow, named, steps, text_of
 
-#: Counted words that a worker remembers.
-MEMO_WORDS = 500_000
+#: Counted words that a worker remembers, and the characters of the longest of them.
+MEMO_WORDS, LONGEST = 500_000, 100
 MARK = "▁"
 #: A word with the spaces and marks before it, or such characters alone at the end of the text.
 WORD = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
@@ -140,9 +140,12 @@ class Ranks:
                     total = sum(map(memo.__getitem__, words))
                 except KeyError:
                     for w in words:
-                        if w not in memo:
-                            memo[w] = self.count(w.replace(" ", MARK))
-                    total = sum(map(memo.__getitem__, words))
+                        n = memo.get(w)
+                        if n is None:
+                            n = self.count(w.replace(" ", MARK))
+                            if len(w) <= LONGEST:
+                                memo[w] = n
+                        total += n
             out.append(total)
         return out
 
