@@ -3,7 +3,7 @@
 Every text has a signature of 256 minhashes.  Each of 16 trees is an order of all texts by their
 signatures, read from another hash on; texts whose longest common prefix in some tree has at least three
 hashes are neighbours, i.e. they stand in one *region* of that order.  A region of at most REGION texts
-is compared whole.  A larger one is sorted again, in several orders by the hashes that follow: a range exchange
+is compared whole.  A larger one is sorted again by the hashes that follow: a range exchange
 by the whole rotated signature, in which each task measures the common prefix of every two rows that follow each
 other and cuts its rows where that is shortest until no run has more than REGION (so the depth is
 that of each run, up to the whole signature).  This finds what is quickly connected.  Then all pairs of a cut region that
@@ -72,7 +72,7 @@ class Forest:
         return self.branches[1] if len(self.branches) > 1 else 1
 
 
-DOCUMENTS = Forest(16, 16, (3,), (1, 3))
+DOCUMENTS = Forest(16, 16, (3,), (1, 1))
 #: Most classes of a region that are compared in one task, and of one that gives pairs.
 REGION, FEW = 2000, 6
 #: So many times REGION are in a part of a cut region, all of whose pairs of parts meet; and are held at once where it is cut.
@@ -80,7 +80,7 @@ FACES = 4
 #: 64-bit words of a filter that is broadcast, and ids that are.
 MAX_BROADCAST_WORDS, MAX_BROADCAST_ROWS = FILTER_BITS // 64, 1 << 21
 #: Words whose hashes a worker remembers, the bytes of the longest, and shingles of the sets of a region that it holds.
-MEMO_WORDS, LONGEST, HELD_SHINGLES = 500_000, 100, 1 << 20
+MEMO_WORDS, LONGEST, HELD_SHINGLES = 500_000, 100, 1 << 22
 #: Pairs whose signatures are compared at once: their flags stay in a core's cache.
 PAIRS_AT_ONCE = 1 << 12
 
@@ -129,11 +129,17 @@ class Shingler:
 
     @staticmethod
     def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-        """Whether 100 * intersection >= percent * union."""
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            return False  # no intersection is larger than the one, no union smaller than the other
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+        return linked_sets(x, y, percent)
+
+
+def linked_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sorted arrays without repeats."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False  # no intersection is larger than the one, no union smaller than the other
+    merged = np.concatenate([x, y])
+    merged.sort(kind="stable")  # two runs in order: one merge
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 class Sets:
@@ -199,11 +205,12 @@ def _prefixes(forest: Forest) -> Column:
     return F.array(*(F.substring("sig", 2 * forest.step * k + 1, 2 * forest.depths[0]) for k in range(forest.trees)))
 
 
-def filtered(rows: DataFrame, key: Column, keys: DataFrame, of_keys: Column) -> DataFrame:
-    """The rows whose key may be among the keys (a written table): most of the others go where they are read."""
+def filtered(rows: DataFrame, key: Column, keys: DataFrame, of_keys: Column, each: int = 16) -> DataFrame:
+    """The rows whose key may be among the keys (a written table): most of the others go where they are read.  each:
+    bits a key."""
     if not MAX_BROADCAST_WORDS:
         return rows
-    bits = filter_bits(keys.count(), most=64 * MAX_BROADCAST_WORDS)
+    bits = filter_bits(keys.count(), each, 64 * MAX_BROADCAST_WORDS)
     return maybe_in(rows, key, bit_filter(keys, of_keys, bits), bits, "__maybe").where("__maybe").drop("__maybe")
 
 
@@ -212,7 +219,7 @@ def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
 
     A filter of the regions goes first, since most texts have no neighbour at all.
     """
-    return filtered(keys, F.col("region"), sizes, F.col("region")).join(sizes, "region")
+    return filtered(keys, F.col("region"), sizes, F.col("region"), 64).join(sizes, "region")
 
 
 def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False, prefixes: Column | None = None, binary: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -259,14 +266,17 @@ def cuts(labels: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _again(hot: DataFrame, forest: Forest, percent: int) -> DataFrame:
-    """The rows of the cut regions that have a pair to be compared in a run of one of their orders, as _needed has them."""
+    """The rows of the cut regions that have a probable link in a run of one of their orders, as _needed has them.
+
+    This is to connect what is quickly connected, so pairs with an estimate below the threshold are left to the facing parts.
+    """
     order = F.explode(F.sequence(F.lit(0), F.lit(forest.orders - 1)))
     spread = hot.select("region", "tree", "rep", "sig", order.alias("order"))
     label = F.substring(F.concat("sig", "sig"), 2 * forest.first_hash(F.col("tree"), F.col("order")) + 1, F.lit(2 * forest.hashes))
     spread = spread.select(F.xxhash64("region", "order").alias("run"), "rep", label.alias("label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = forest.least_estimate(percent / 100)
+        least = percent / 100
         for group in grouped(batches, FACES * REGION):
             labels, ids, name = _sigs(group.column(2), forest.hashes), group.column(1).to_numpy(), group.column(0)[0].as_py()
             for a, b in cuts(labels, REGION):
@@ -281,9 +291,10 @@ def _again(hot: DataFrame, forest: Forest, percent: int) -> DataFrame:
 
 
 def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
-    """(region, rep, side, root, sig): pairs of parts of the cut regions, each as a region of its own.
+    """(region, rep, side, root, sig): pairs of parts of the cut regions, each as a region of its own.  side is
+    0 or 1, or 2 for a part that faces itself, and four times the tree.
 
-    hot: region, rep and sig.  linked: node and root of what is connected already.  A component of more
+    hot: region, tree, rep and sig.  linked: node and root of what is connected already.  A component of more
     than FACES * REGION texts of a region has parts of its own, which don't meet each other; the other texts
     are dealt to parts by their component.  Any two texts of a region with different roots meet: either in
     two parts (side 0 and 1) or within one (side 2).
@@ -297,7 +308,7 @@ def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
     big = F.col("n") > half
     own = F.xxhash64("region", "root", F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("n") / half)))
     mixed = F.xxhash64("region", F.pmod(F.xxhash64("root", "region"), F.ceil(F.col("rest") / half)))
-    dealt = rooted.join(some, ["region", "root"]).select("region", "rep", "root", "sig", F.when(big, own).otherwise(mixed).alias("part"), F.when(big, F.col("root")).alias("owner"))
+    dealt = rooted.join(some, ["region", "root"]).select("region", "tree", "rep", "root", "sig", F.when(big, own).otherwise(mixed).alias("part"), F.when(big, F.col("root")).alias("owner"))
     dealt = stash(dealt)
     parts = stash(dealt.groupBy("region", "part").agg(F.first("owner").alias("owner")))
     one, two = (parts.select("region", F.col("part").alias(f"part{k}"), F.col("owner").alias(f"owner{k}")) for k in (0, 1))
@@ -305,7 +316,7 @@ def facing(hot: DataFrame, linked: DataFrame) -> DataFrame:
     side = F.when(F.col("part0") == F.col("part1"), F.array(F.struct(F.col("part0").alias("part"), F.lit(2).alias("side"))))
     side = side.otherwise(F.array(F.struct(F.col("part0").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part1").alias("part"), F.lit(1).alias("side"))))
     named = pairs.select("region", F.xxhash64("region", "part0", "part1").alias("name"), F.explode(side).alias("x")).select("region", "name", "x.part", "x.side")
-    return dealt.join(stash(named), ["region", "part"]).select(F.col("name").alias("region"), "rep", "side", "root", "sig")
+    return dealt.join(stash(named), ["region", "part"]).select(F.col("name").alias("region"), "rep", (F.col("side") + 4 * F.col("tree")).alias("side"), "root", "sig")
 
 
 def met_before(equal: np.ndarray, tree: np.ndarray, deep: np.ndarray, forest: Forest) -> np.ndarray:
@@ -351,6 +362,9 @@ def _sigs(column: pa.Array | pa.ChunkedArray, hashes: int) -> np.ndarray:
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many hashes of each row of x agree with those of each row of y."""
+    if x.shape[1] < 128:
+        columns = np.ascontiguousarray(y.T)
+        return np.stack([np.add.reduce((columns == row[:, None]).view(np.uint8), axis=0, dtype=np.uint8) for row in x]).astype(np.int64)
     same = x[:, None] == y[None]
     if same.shape[2] % 8:
         return same.sum(2)
@@ -407,8 +421,10 @@ def region_pairs(tree: int, deep: np.ndarray, sigs: np.ndarray, forest: Forest,
     return first, second, estimate
 
 
-def facing_pairs(side: np.ndarray, root: np.ndarray, sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As region_pairs, those of two parts or within one: all that aren't connected already."""
+def facing_pairs(side: np.ndarray, root: np.ndarray, sigs: np.ndarray, forest: Forest, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As region_pairs, those of two parts or within one: all that aren't connected already, in the first tree of which
+    they share a region."""
+    tree, side = int(side[0]) // 4, side % 4
     within = side[0] == 2
     left, right = (np.arange(len(side)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
@@ -420,6 +436,9 @@ def facing_pairs(side: np.ndarray, root: np.ndarray, sigs: np.ndarray, least: fl
         i, j = np.nonzero((e >= enough) & (root[x, None] != root[None, y]))
         if within:
             i, j = i[j > i], j[j > i]
+        if tree and len(i):
+            new = ~met_before(sigs[x[i]] == sigs[y[j]], np.full(len(i), tree), np.zeros(len(i), np.int64), forest)
+            i, j = i[new], j[new]
         found.append((x[i], y[j], e[i, j]))
     first, second, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
     return first, second, estimate
@@ -429,7 +448,7 @@ def compared(group: pa.Table, forest: Forest, least: float) -> tuple[np.ndarray,
     """The pairs of a group (a region, or parts that face each other) that are to be compared in it."""
     third, fourth, sigs = group.column(2), group.column(3).to_numpy(), _sigs(group.column(4), forest.hashes)
     if group.column_names[2] == "side":
-        return facing_pairs(third.to_numpy(), fourth, sigs, least)
+        return facing_pairs(third.to_numpy(), fourth, sigs, forest, least)
     return region_pairs(third[0].as_py(), fourth, sigs, forest, least)
 
 
@@ -457,7 +476,8 @@ def _needed(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
 def region_links(group: pa.Table, sets: Sets, forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
     """Confirmed links that connect whatever all confirmed links of the region's pairs would connect, fewer than texts."""
     linked, ids = sets.shingles.linked, group.column(1).to_pylist()
-    i, j, estimate = compared(group, forest, forest.least_estimate(percent / 100))
+    quick = group.column_names[2] == "tree" and group.column(2)[0].as_py() < 0
+    i, j, estimate = compared(group, forest, percent / 100 if quick else forest.least_estimate(percent / 100))
     order = np.argsort(-estimate, kind="stable")
     # What has one root is connected already.
     parent = np.unique(group.column(3).to_numpy(), return_inverse=True)[1] if group.column_names[3] == "root" else np.arange(len(ids))
@@ -532,7 +552,7 @@ def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Fore
     if hot is None:
         return components(links)
     linked = stash(components(links))
-    needed = stash(_needed(facing(hot.drop("tree"), linked), forest, percent))
+    needed = stash(_needed(facing(hot, linked), forest, percent))
     full = texts(stash(needed.select("rep").distinct()))
     more = _large(needed.join(full, "rep"), forest, shingler, percent)
     return components(linked.toDF("a", "b").unionByName(more))

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 
 from tessella.llm import components, near_dedup
 
+from .all_pairs import least_reachable
 from .helpers import ODD, clashing, empty_docs, odd_docs, union
 
 
@@ -145,3 +147,89 @@ def test_sets_stay_bounded(monkeypatch):
     sets = near_dedup.Sets(pa.chunked_array([[" ".join(f"{i}x{k}" for k in range(9)) for i in range(5)]]), near_dedup.Shingler(4))
     assert all(len(sets[i]) == 6 for i in (0, 1, 2, 0, 4))
     assert len(sets.made) == 1
+
+
+def test_runs_are_cut_where_the_prefix_is_shortest():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, (300, 8)).astype("<u2")
+    rows[100:140] = rows[100]
+    labels = np.array(sorted(rows.tolist(), key=lambda r: np.array(r, "<u2").tobytes()), "<u2")
+    prefix = lambda a, b: next((k for k in range(8) if labels[a][k] != labels[b][k]), 8)
+    for most in (2, 5, 20, 299, 300):
+        runs = sorted(near_dedup.cuts(labels, most))
+        assert all(1 < b - a <= most for a, b in runs)
+        for a, b in runs:
+            # Rows at a run's borders have less in common with what is outside than any two inside, or all is equal.
+            inside = min(prefix(k, k + 1) for k in range(a, b - 1))
+            for left, right in ((a - 1, a), (b - 1, b)):
+                if 0 <= left and right < len(labels):
+                    assert prefix(left, right) < inside or inside == 8
+        # A row that is in no run stands alone between shorter prefixes, where its neighbours' run was too large.
+        within = {k for a, b in runs for k in range(a, b)}
+        assert most < 300 or within == set(range(300))
+    assert list(near_dedup.cuts(labels[:1], 5)) == []
+
+
+@pytest.mark.parametrize("hashes", [256, 48, 6])
+def test_agreeing_counts_all_hashes(hashes):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 2, (40, hashes)).astype("<u2"), rng.integers(0, 2, (30, hashes)).astype("<u2")
+    y[0] = x[0]
+    assert (near_dedup.agreeing(x, y) == (x[:, None] == y[None]).sum(2)).all()
+    assert near_dedup.agreeing(x[:1], y[:1])[0, 0] == hashes
+
+
+def crowd(seed, n, words=260):
+    """Texts around one, each with some words of its own: most pairs are near the threshold, on either side."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    texts = []
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(words), rng.choice([3, 4, 5, 6])):
+            text[k] = f"x{i}y{k}"
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_region_of_twenty_times_the_limit(spark, monkeypatch, capsys, seed):
+    """One group of 400 different texts, with regions of 20 at most: the components of all pairs."""
+    monkeypatch.setattr(near_dedup, "REGION", 20)
+    texts = crowd(seed, 400) + family(seed, groups=3)
+    ids = random.Random(seed).sample(range(10_000), len(texts))
+    want, got = expected(ids, texts), found(spark, ids, texts)
+    sets = word_sets(texts, 4)
+    links = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    met = sum(got[ids[i]][1] == got[ids[j]][1] for i, j in links)
+    with capsys.disabled():
+        print(f" recall {met / len(links):.5f} of {len(links)} links", end="")
+    assert met >= 0.99 * len(links)
+    assert got == want
+
+
+@pytest.mark.skipif("TESSELLA_LARGE" not in os.environ, reason="some minutes: set TESSELLA_LARGE to run it")
+@pytest.mark.parametrize("table", ["check_s", "check_h"])
+def test_equal_to_an_exact_join(spark, table):
+    """All rows of a large table, against an exact join by prefix filter."""
+    from tessella.llm.queries import op10_lsh_forest
+
+    rows = spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text").collect()
+    first, sets = {}, []
+    number = []
+    for r in rows:
+        s = frozenset(hash(x) for x in word_sets([r.text], 4)[0])
+        if s not in first:
+            first[s] = len(sets)
+            sets.append(s)
+        number.append(first[s])
+    root = least_reachable(sets)
+    least = {}
+    for r, k in zip(rows, number, strict=True):
+        if sets[k]:
+            least[root[k]] = min(least.get(root[k], r.doc_id), r.doc_id)
+    want = {r.doc_id: least[root[k]] if sets[k] else r.doc_id for r, k in zip(rows, number, strict=True)}
+    got = {r.doc_id: r.component_id for r in op10_lsh_forest(spark, f"/root/testdata/{table}").collect()}
+    wrong = [d for d in want if want[d] != got[d]]
+    print(f"{table}: {len(want)} rows, {len(sets)} sets, {len(wrong)} differ")
+    assert not wrong
