@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, bounded_batches, filter_bits, fresh, maybe_in, named, stash, steps, text_of
-from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, filtered, roots
+from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, filtered, linked_sets, roots
 
 SHINGLE, PERCENT = 7, 80
-LINES = Forest(16, 3, (3,), (1, 3))
+LINES = Forest(16, 3, (3,), (1, 1))
 #: Characters of different lines that a task gathers before it hashes them and counts anew.
 GATHERED = 1 << 22
 #: Bytes of masks that are broadcast.
@@ -44,9 +44,12 @@ TRIM = " \t\r"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def window_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the windows of SHINGLE characters, from hashes of windows of two and of four."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows of SHINGLE code points, from hashes of windows of two and of four."""
     two = x[:-1] * _M1 + x[1:]
     four = two[:-2] * _M2 + two[2:]
     out = four[:-3] * _M3 + four[3:]
@@ -56,6 +59,10 @@ def window_hashes(text: str) -> np.ndarray:
     return out
 
 
+def window_hashes(text: str) -> np.ndarray:
+    return _windows(_codes(text))
+
+
 def signatures(lines: list[str], hashes: int = LINES.hashes) -> np.ndarray:
     """A row for each line: 16 bits of each of its minhashes.
 
@@ -86,20 +93,16 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _share(x: set[str], y: set[str], percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False  # no intersection is larger than the one, no union smaller than the other
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 class LineSets:
-    """Sets of lines, for the near-duplicate regions."""
+    """Sets of lines, for the near-duplicate regions: 64-bit hashes of their shingles, in order."""
 
-    def __call__(self, line: str) -> set[str]:
-        return shingles(line)
+    def __call__(self, line: str) -> np.ndarray:
+        x = _codes(line)
+        if len(x) < SHINGLE:  # filled up with what is no character
+            x = np.concatenate([x, np.full(SHINGLE - len(x), 0x110000, np.uint64)])
+        return np.unique(_windows(x))
 
-    linked = staticmethod(_share)
+    linked = staticmethod(linked_sets)
 
 
 def _cut(text: str) -> tuple[list[int], list[str]]:
@@ -257,7 +260,7 @@ def _keepers(names: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _masks(gone: DataFrame) -> DataFrame:
-    """gone with mask, a byte a line up to the last that goes (1: goes), in place of the places."""
+    """gone with mask, a byte a line up to the last that goes (1: goes), and lost, their number, in place of the places."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,9 +270,9 @@ def _masks(gone: DataFrame) -> DataFrame:
                 mask = np.zeros(at[-1] + 1, np.uint8)
                 mask[at] = 1
                 masks.append(mask.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], ["doc_id", "whole", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary()), pa.array([len(p) for p in batch.column(2)], pa.int64())], ["doc_id", "whole", "mask", "lost"])
 
-    return gone.select("doc_id", "whole", "places").mapInArrow(run, "doc_id long, whole long, mask binary")
+    return gone.select("doc_id", "whole", "places").mapInArrow(run, "doc_id long, whole long, mask binary, lost long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -278,22 +281,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     Masks of up to MAX_BROADCAST_BYTES in all are broadcast.  More are joined by a shuffle, but only with the
     documents that may have one: a filter lets the others pass.
     """
-    own, key, hashed, mask, maybe = (fresh(docs, x) for x in ("own", "key", "hashed", "mask", "maybe"))
-    gone = stash(_masks(dropped(docs.select("doc_id", "text")))).select(F.col("doc_id").alias(key), F.col("whole").alias(hashed), F.col("mask").alias(mask))
+    own, key, hashed, mask, lost, maybe = (fresh(docs, x) for x in ("own", "key", "hashed", "mask", "lost", "maybe"))
+    gone = stash(_masks(dropped(docs.select("doc_id", "text")))).select(F.col("doc_id").alias(key), F.col("whole").alias(hashed), F.col("mask").alias(mask), F.col("lost").alias(lost))
     size = gone.agg(F.coalesce(F.sum(F.length(mask) + 32), F.lit(0))).first()[0]
     keyed = docs.withColumn(own, _whole())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed))
     columns = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_kept")]
-    lines = F.split(F.col("text").cast("string"), "\n")
-    count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
+    text = F.col("text").cast("string")
+    # Line ends are counted by bytes; only texts that lose lines are split.
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
     def whole(rows: DataFrame) -> DataFrame:
-        return rows.select(*named(columns), F.col("text").cast("string").alias("text"), count(lines).alias("n_lines"), count(lines).alias("n_kept"))
+        return rows.select(*named(columns), text.alias("text"), n_lines.alias("n_lines"), n_lines.alias("n_kept"))
 
     def cut(rows: DataFrame) -> DataFrame:
-        left = F.filter(lines, lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\x01"))
+        left = F.filter(F.split(text, "\n"), lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\x01"))
         some = F.col(mask).isNotNull()
-        return rows.select(*named(columns), F.when(some, F.array_join(left, "\n")).otherwise(F.col("text").cast("string")).alias("text"), count(lines).alias("n_lines"), F.when(some, count(left)).otherwise(count(lines)).alias("n_kept"))
+        return rows.select(*named(columns), F.when(some, F.array_join(left, "\n")).otherwise(text).alias("text"), n_lines.alias("n_lines"), (n_lines - F.coalesce(lost, F.lit(0))).alias("n_kept"))
 
     if size <= MAX_BROADCAST_BYTES or not MAX_BROADCAST_WORDS:
         return cut(keyed.join(F.broadcast(gone) if size <= MAX_BROADCAST_BYTES else gone, same, "left"))

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from tessella.llm import line_dedup, near_dedup
 
+from .all_pairs import least_reachable
 from .helpers import ODD, clashing, empty_docs, odd_docs, union
 
 
@@ -125,3 +127,75 @@ def test_odd_tables(spark):
     assert line_dedup.dedup(empty_docs(spark)).count() == 0
     out = line_dedup.dedup(clashing(odd_docs(spark)))
     assert set(out.columns) == {*clashing(odd_docs(spark)).columns, "n_lines", "n_kept"}
+
+
+def test_rows_that_repeat_an_id_lose_their_own_lines(spark):
+    docs = [(None, "x line that is here\nonly in the first"), (None, "only in the second\nx line that is here"), (5, "own of five, row one\nshared by the two of them"), (5, "shared by the two of them\nown of five, row two, quite unlike")]
+    rows = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(r.text for r in rows) == sorted(["x line that is here\nonly in the first", "only in the second", "own of five, row one", "shared by the two of them\nown of five, row two, quite unlike"])
+
+
+def test_a_document_of_very_many_lines(spark):
+    """200,000 lines, half of which go: no step takes lines times places."""
+    text = "\n".join("the same line again and again" if i % 2 else "" for i in range(200_000))
+    rows = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.dedup(spark.createDataFrame([(1, text), (2, "the same line again and again\nother")], "doc_id long, text string")).collect()}
+    assert rows == {1: (200_000, 100_001), 2: (2, 1)}
+
+
+def test_masks_that_are_too_large_to_broadcast(spark, monkeypatch):
+    docs = corpus(5)
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_BYTES", 0)
+    assert found(spark, docs) == expected(docs)
+    df = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # Documents that no filter holds back go straight to the output.
+    assert plan.startswith("Union")
+
+
+def test_a_band_of_twenty_times_the_limit(spark, monkeypatch, capsys):
+    monkeypatch.setattr(near_dedup, "REGION", 20)
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=180))
+    lines = []
+    for _ in range(400):
+        line = list(base)
+        for k in rng.sample(range(180), rng.choice([1, 2, 3])):
+            line[k] = rng.choice("0123456789")
+        lines.append("".join(line))
+    docs = list(enumerate(lines))
+    want, got = expected(docs), found(spark, docs)
+    same = sum(want[d] == got[d] for d in want)
+    with capsys.disabled():
+        print(f" {same} of {len(want)} as by all pairs", end="")
+    assert got == want
+
+
+@pytest.mark.skipif("TESSELLA_LARGE" not in os.environ, reason="some minutes: set TESSELLA_LARGE to run it")
+@pytest.mark.parametrize("table", ["check_s", "check_h"])
+def test_equal_to_an_exact_join(spark, table):
+    """All lines of a large table, against an exact join by prefix filter."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text").collect()]
+    number, first = {}, []
+    for doc, text in docs:
+        for at, line in enumerate((text or "").split("\n")):
+            if line := line.strip(" \t\r"):
+                k = number.setdefault(line, len(number))
+                if k == len(first):
+                    first.append((doc, at))
+                else:
+                    first[k] = min(first[k], (doc, at))
+    sets = [frozenset(hash(x) for x in line_dedup.shingles(line)) for line in number]
+    root = least_reachable(sets)
+    keep = {}
+    for k, r in enumerate(root):
+        keep[r] = min(keep.get(r, first[k]), first[k])
+    want = {}
+    for doc, text in docs:
+        left = [x for at, x in enumerate((text or "").split("\n")) if not x.strip(" \t\r") or keep[root[number[x.strip(" \t\r")]]] == (doc, at)]
+        want[doc] = hashlib.sha256("\n".join(left).encode()).hexdigest()
+    from tessella.llm.queries import op6_line_minhash
+
+    got = {r.doc_id: r.text_sha256 for r in op6_line_minhash(spark, f"/root/testdata/{table}").collect()}
+    wrong = [d for d in want if want[d] != got[d]]
+    print(f"{table}: {len(docs)} documents, {len(sets)} lines, {len(wrong)} documents differ")
+    assert not wrong
