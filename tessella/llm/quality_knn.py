@@ -176,9 +176,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None) -> DataFrame:
-    """The documents that the model does not reject, with their columns.  learn: where the labelled texts are, docs by default."""
+    """The documents that the model does not reject, with their columns: all if there are no labels.  learn: where the
+    labelled texts are, docs by default."""
+    model = fit(docs if learn is None else learn, labels)
+    if not len(model.labels):
+        return docs
     score = "score"
     while score in {c.lower() for c in docs.columns}:
         score += "_"
-    scored = score_column(docs, fit(docs if learn is None else learn, labels), score)
+    scored = score_column(docs, model, score)
     return scored.where(F.col(score) >= THRESHOLD).select(*named(docs.columns))

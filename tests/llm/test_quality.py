@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import quality_knn
 from tessella.llm.queries import op2_quality_knn
@@ -76,3 +77,12 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"text number {i} with words {i * i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], LABELS)
     assert len(quality_knn.fit(docs, labels, sample=20).labels) == 20
+
+
+def test_ids_that_repeat_leave_the_fit_alone(spark):
+    rows = [(i, f"{'good words here' if i % 2 else 'x!x! junk ###'} number {i}") for i in range(40)]
+    rows += [(3, "zz another text of three"), (4, "another text of four")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (quality_knn.fit(d, labels) for d in (docs.repartition(5), docs.orderBy(F.desc("text")).repartition(2)))
+    assert (one.vectors == two.vectors).all() and (one.labels == two.labels).all()
