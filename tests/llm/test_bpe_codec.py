@@ -104,3 +104,14 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_frequent_words_of_tasks(spark, monkeypatch):
+    """Counts are of all texts; with room for fewer words, the frequent ones stay."""
+    rows = [(f"often often often rare{i} " + "y" * 40,) for i in range(600)] + [(None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    assert bpe_codec.frequent_words(docs) == ["often"]
+    monkeypatch.setattr(bpe_codec, "HELD_WORDS", 20)
+    assert bpe_codec.frequent_words(docs) == ["often"]
+    kept = bpe_codec._kept(bpe_codec.Counter({"a": 9, "b": 5, "c": 2, "d": 1}), 2)
+    assert kept == {"a": 7, "b": 3}

@@ -3,11 +3,12 @@ import hashlib
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import chat_format
 from tessella.llm.queries import op8_chat_format
 
-from .helpers import DATA, needs_data
+from .helpers import DATA, clashing, needs_data
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 PIECE = st.sampled_from(["[INST] ", " [/INST]", "</s>", "<s>", " ", "\\", "\\o", "\\b", "[", "]", "<", "[OUT+] ", "[ROLE x] ", " [/ROLE]", "[INST+] ", "hello", "é😀", "\n", "+", "] "])
@@ -70,3 +71,27 @@ def test_query(spark):
         chats.setdefault(r.conv_id, []).append((r.role, r.text))
     rows = op8_chat_format(spark, DATA).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in rows} == {c: digest(t) for c, t in chats.items()}
+
+
+def test_formatted_chars_and_clashing_columns(spark):
+    """formatted_chars is the length of the text as rendered; columns that the operator has no use for change nothing."""
+    rows = [(1, 0, "system", "be [brief]"), (1, 1, "user", "hi é😀"), (1, 2, "assistant", "yes</s>"), (2, 0, "user", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    formatted = {1: "<s>[ROLE system] be [brief] [/ROLE][INST] hi é😀 [/INST][OUT+] yes\\l/s></s>", 2: "<s>[INST]  [/INST]"}
+    assert {r.conv_id: r.formatted for r in chat_format.format_chats(df).collect()} == formatted
+    extra = df
+    for name in ("turns", "sorted", "formatted", "parsed", "level", "loss_spans", "read", "loss", "it", "given"):
+        extra = extra.withColumn(name, F.lit("mine"))
+    want = {c: len(t) for c, t in formatted.items()}
+    for source in (df, extra, clashing(df)):
+        assert {r.conv_id: r.formatted_chars for r in chat_format.report(source).collect()} == want
+        assert chat_format.report(source).columns == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
+def test_more_turns_than_a_block(spark):
+    n = 2 * chat_format.BLOCK + 3
+    chats = {k: [("user" if i % 2 else "assistant", f"text {i} <{i % 7}") for i in range(k)] for k in (1, chat_format.BLOCK - 1, chat_format.BLOCK, chat_format.BLOCK + 1, n)}
+    assert found(spark, chats) == {c: digest(t) for c, t in chats.items()}
+    rows = [(c, k, r, t) for c, turns in chats.items() for k, (r, t) in enumerate(turns)]
+    for row in chat_format.format_chats(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert [row.formatted[s.start : s.stop] for s in row.loss_spans] == [t for r, t in chats[row.conv_id] if r == "assistant"]

@@ -64,3 +64,38 @@ def test_no_python_in_the_plan(spark):
     for df in (exact_dedup.report(odd_docs(spark)), exact_dedup.dedup(odd_docs(spark))):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_that_stay_never_shuffle(spark, monkeypatch, tmp_path):
+    """With more rows to tell than are broadcast, only what the filter holds back is exchanged."""
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_ROWS", 0)
+    rows = [(i, f"own text {i}" if i % 5 else f"one of ten  {i % 50}") for i in range(2000)] + [(10, "one of ten 10"), (10, "one of ten 10"), (None, "nobody"), (None, "nobody")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = exact_dedup.dedup(docs)
+    want = sorted(d for d, _, _, k, _ in set(expected(rows)) if k) + [None]
+    assert sorted((r.doc_id for r in out.collect()), key=lambda d: (d is None, d)) == want
+    docs.write.parquet(f"{tmp_path}/docs")
+    plan = exact_dedup.dedup(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution()
+    first = plan.optimizedPlan().children().apply(0).toString()
+    # The first branch of the union is the scan, the filter and nothing that exchanges texts: one join, of a broadcast.
+    assert plan.optimizedPlan().nodeName() == "Union" and first.count("Join ") == 1 and "rightHint=(strategy=broadcast)" in first
+    above = first[: first.index("Join ")]
+    assert "Aggregate" not in above and "Repartition" not in above
+
+
+def test_filters_miss_nothing_and_pass_little(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import common
+
+    keys = spark.range(20_000).select((F.col("id") * 3).alias("k"))
+    for bits in (common.filter_bits(20_000), 1 << 12):
+        some = common.bit_filter(keys, F.col("k"), bits)
+        rows = common.maybe_in(spark.range(60_000), F.col("id"), some, bits, "hit").where("hit")
+        assert rows.where("id % 3 = 0").count() == 20_000
+        others = rows.where("id % 3 <> 0").count() / 40_000
+        assert others < 0.08 if bits > 1 << 12 else others > 0.9
+    twice = common.bit_filter(keys.unionByName(keys.where("k < 300")), F.col("k"), 1 << 22, repeated=True)
+    hits = common.maybe_in(keys, F.col("k"), twice, 1 << 22, "hit").where("hit")
+    assert hits.where("k < 300").count() == 100 and hits.count() < 400
+    assert common.filter_bits(1 << 40) == common.FILTER_BITS and common.filter_bits(0) == common.ROW_BITS

@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from tessella.llm import near_dedup, quality_knn
 from tessella.llm.queries import QUERIES, tokenizer
 
-from .helpers import DATA, needs_data
+from .helpers import DATA, ODD, clashing, empty_docs, needs_data, odd_docs
 from .test_decontam import brute
 from .test_near_dedup import FLAT, expected, flat, sparse
 
@@ -48,3 +50,41 @@ def test_run(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, DATA).columns == table.columns
     assert quality_knn.THRESHOLD == 0.7
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes a folder of tables: the given documents, some labels, and a benchmark."""
+
+    def made(docs, name):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return folder
+
+    return made
+
+
+def test_no_documents(spark, tables):
+    folder = tables(empty_docs(spark), "none")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "ids", "decoded"] and out.count() == 0
+
+
+def test_odd_documents(spark, tables):
+    """Nulls, empty texts, repeated rows and clashing columns, stage by stage.  There are no labels, so nothing is rejected for its quality."""
+    more = spark.createDataFrame([(20, "One two, three four five six seven eight nine ten!", "x", "y", 1), (21, None, None, None, None)], odd_docs(spark).schema)
+    docs = odd_docs(spark).unionByName(more)
+    folder = tables(docs, "odd")
+    # 21, 2 and 1 are equal (no text), 5 is 4 with other white space, the row without an id is 6, 7 is there twice; 20 has benchmark words.
+    kept = [1, 3, 4, 6, 7, 8, 9, 10, -11]
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(kept)
+    texts = {d: t or "" for d, t, *_ in ODD}
+    assert all(r.decoded == texts[r.doc_id] for r in rows)
+    clash = clashing(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, folder)
+        assert out.columns == clash.columns, name
+        assert all(r["__text"] == "mine" and r["a.b"] == "mine" for r in out.collect()), name
