@@ -2,6 +2,12 @@
 
 Every stage is a function of (spark, docs, sf_dir) that returns a DataFrame; the result is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Defined cases: an empty table gives an empty result with the same columns; null texts are empty ones, which
+the classifier rejects as soon as there are labels (without any it rejects nothing); of rows that repeat id and
+text, and of equal texts, one goes on, with the smallest id (one without an id only if all are); a document
+without words is no near duplicate and not contaminated; other columns go through all stages but
+the last, whatever they are called.
 """
 
 from __future__ import annotations
