@@ -12,78 +12,90 @@ CODES = {"none": 1, "lzw": 5, "deflate": 8, "lzma": 34925, "zstd": 50000}
 NAMES = {v: k for k, v in CODES.items()} | {32946: "deflate"}
 
 
+CLEAR, END = 256, 257
+
+
 def _lzw_encode(data: bytes) -> bytes:
     """LZW as in TIFF 6.0: most significant bit first, codes from 9 to 12 bits, one code early."""
-    clear, end = 256, 257
-    out, acc, bits, width = bytearray(), 0, 0, 9
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc = acc << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    table = {bytes([i]): i for i in range(256)}
-    put(clear)
-    free, word = 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    codes, widths = [CLEAR], [9]
+    # A longer word by the code of the word before it and its last byte.
+    table: dict[int, int] = {}
+    free, width, word = 258, 9, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        longer = table.get(key := word << 8 | byte)
+        if longer is not None:
             word = longer
             continue
-        put(table[word])
-        table[longer] = free
+        codes.append(word)
+        widths.append(width)
+        table[key] = free
         free += 1
         if free == 4095:
-            put(clear)
-            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
+            codes.append(CLEAR)
+            widths.append(width)
+            table, free, width = {}, 258, 9
         elif free == 1 << width:
             width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
+        word = byte
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         free += 1
         if free == 1 << width and width < 12:
             width += 1
-    put(end)
-    if bits:
-        out.append(acc << 8 - bits & 255)
-    return bytes(out)
+    codes.append(END)
+    widths.append(width)
+    # All bits at once: those of each code, highest first.
+    size = np.array(widths)
+    ends = np.cumsum(size)
+    bits = np.repeat(np.array(codes), size) >> (np.repeat(ends, size) - 1 - np.arange(ends[-1])) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+#: Codes that are read at once after a clear code, and their widths: the table grows by one a code.
+_AHEAD = 4096
+_WIDTHS = np.array([9 if j < 254 else 10 if j < 766 else 11 if j < 1790 else 12 for j in range(_AHEAD)])
+
+
+def _codes(data: np.ndarray, at: int, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the given widths from a bit on, and the bits after which they end."""
+    ends = at + np.cumsum(widths)
+    start = ends - widths
+    first = np.minimum(start >> 3, len(data) - 3)
+    three = data[first].astype(np.int64) << 16 | data[first + 1].astype(np.int64) << 8 | data[first + 2]
+    return three >> (24 - (start & 7) - widths) & (1 << widths) - 1, ends
 
 
 def _lzw_decode(data: bytes) -> bytes:
-    clear, end = 256, 257
-    out, acc, bits, width = bytearray(), 0, 0, 9
-    table: list[bytes] = []
-    before = b""
-    for byte in data:
-        acc = acc << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == end:
-            break
-        if code == clear:
-            table, width, before = [*(bytes([i]) for i in range(256)), b"", b""], 9, b""
-            continue
-        if not before:
-            word = table[code]
+    bits = 8 * len(data)
+    padded = np.frombuffer(data + bytes(4), np.uint8)
+    out: list[bytes] = []
+    singles = [*(bytes([i]) for i in range(256)), b"", b""]
+    at, table, before, widths = 0, list(singles), b"", _WIDTHS
+    while at + 9 <= bits:
+        codes, ends = _codes(padded, at, widths)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END) | (ends > bits))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:stop].tolist():
+            if not before:
+                word = table[code]
+            else:
+                if code > len(table):
+                    raise ValueError("broken LZW data")
+                word = table[code] if code < len(table) else before + before[:1]
+                table.append(before + word[:1])
+            out.append(word)
+            before = word
+        if stop == len(codes):  # a table that is full goes on with its widest codes
+            at, widths = int(ends[-1]), np.full(_AHEAD, 12)
+        elif ends[stop] <= bits and codes[stop] == CLEAR:
+            at, table, before, widths = int(ends[stop]), list(singles), b"", _WIDTHS
         else:
-            if code > len(table):
-                raise ValueError("broken LZW data")
-            word = table[code] if code < len(table) else before + before[:1]
-            table.append(before + word[:1])
-        out += word
-        before = word
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return bytes(out)
+            break
+    return b"".join(out)
 
 
 def encoded(data: bytes, codec: str, level: int | None = None) -> bytes:
