@@ -81,6 +81,9 @@ FACES = 4
 MAX_BROADCAST_WORDS, MAX_BROADCAST_ROWS = FILTER_BITS // 64, 1 << 21
 #: Words whose hashes a worker remembers, the bytes of the longest, and shingles of the sets of a region that it holds.
 MEMO_WORDS, LONGEST, HELD_SHINGLES = 500_000, 100, 1 << 22
+#: Pairs of a region, by its rows, from which all its sets are multiplied, if it has no more rows than these; the
+#: multiplications that cost as much as a pair; and the columns of one product.
+MANY, MOST_ROWS, PRODUCT, COLUMNS = 8, 4096, 300_000, 2048
 #: Pairs whose signatures are compared at once: their flags stay in a core's cache.
 PAIRS_AT_ONCE = 1 << 12
 
@@ -161,6 +164,36 @@ class Sets:
         return found
 
 
+    def shares(self, n: int, pairs: int) -> np.ndarray | None:
+        """How many elements each two of the n sets have in common, if that costs less than so many pairs and fits."""
+        size, own = 0, []
+        for k in range(n):
+            own.append(self.shingles(self.texts[k].as_py()))
+            size += len(own[-1])
+            if size > HELD_SHINGLES:
+                return None
+        values, column, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        # Elements of one set alone are in no product; the number of those that are left is the cost.
+        place = np.cumsum(often > 1) - 1
+        wide = int(place[-1]) + 1
+        if n * n * wide > PRODUCT * pairs:
+            return None
+        row = np.repeat(np.arange(n), [len(x) for x in own])
+        several = often[column] > 1
+        row, at = row[several], place[column[several]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        out = np.zeros((n, n), np.float32)
+        for a in range(0, wide, COLUMNS):
+            first, last = np.searchsorted(at, (a, a + COLUMNS))
+            block = np.zeros((n, min(COLUMNS, wide - a)), np.float32)
+            block[row[first:last], at[first:last] - a] = 1
+            out += block @ block.T
+        share = out.astype(np.int32)  # exact: sums of ones below 2**24
+        np.fill_diagonal(share, [len(x) for x in own])
+        return share
+
+
 def signature(shingles: np.ndarray, hashes: int = 256) -> bytes:
     """16 bits of each minhash."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -481,17 +514,27 @@ def region_links(group: pa.Table, sets: Sets, forest: Forest, percent: int) -> I
     order = np.argsort(-estimate, kind="stable")
     # What has one root is connected already.
     parent = np.unique(group.column(3).to_numpy(), return_inverse=True)[1] if group.column_names[3] == "root" else np.arange(len(ids))
-    while len(order):
-        # What is connected already needs no confirmation; the rest goes on in blocks.
-        x, y = i[order], j[order]
-        order = order[parent[x] != parent[y]]
-        block, order = order[:256], order[256:]
-        for k in block.tolist():
-            x, y = int(i[k]), int(j[k])
-            if parent[x] != parent[y] and linked(sets[x], sets[y], percent):
+    share = sets.shares(len(ids), len(order)) if len(order) > MANY * len(ids) and len(ids) <= MOST_ROWS else None
+    if share is not None:
+        # So many pairs that one product of all sets costs less than they do one by one.
+        sizes = share.diagonal()
+        both = share[i, j].astype(np.int64)
+        order = order[(100 * both >= percent * (sizes[i] + sizes[j] - both))[order]]
+    at, links = 0, 0
+    while at < len(order):
+        # Among the pairs to come, those that are connected by now are left out from time to time.
+        if links:
+            order = order[at:]
+            order = order[parent[i[order]] != parent[j[order]]]
+            at, links = 0, 0
+        stop = at + max(256, (len(order) - at) // 16)
+        for x, y in zip(i[order[at:stop]].tolist(), j[order[at:stop]].tolist(), strict=True):
+            if parent[x] != parent[y] and (share is not None or linked(sets[x], sets[y], percent)):
                 keep, gone = sorted((parent[x], parent[y]))
                 parent[parent == gone] = keep
+                links += 1
                 yield ids[x], ids[y]
+        at = stop
 
 
 def _large(members: DataFrame, forest: Forest, shingler: Callable, percent: int) -> DataFrame:
