@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bands import pack, packed
 from .common import bit_filter, bounded_batches, filter_bits, fresh, maybe_in, named, stash, steps, text_of
 from .near_dedup import _A, MAX_BROADCAST_WORDS, Forest, filtered, linked_sets, roots
 
@@ -44,6 +45,11 @@ TRIM = " \t\r"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def _stash(df: DataFrame) -> DataFrame:
+    """Digests, places and signatures hardly repeat: dictionaries of them would cost time only."""
+    return stash(df, **{"parquet.enable.dictionary": "false"})
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -66,22 +72,24 @@ def window_hashes(text: str) -> np.ndarray:
 def signatures(lines: list[str], hashes: int = LINES.hashes) -> np.ndarray:
     """A row for each line: 16 bits of each of its minhashes.
 
-    The windows of all lines are hashed together; those that reach over a line's end are left out of
-    its minimum.  A shorter line than a window is filled up with NULs, which makes it one window.
+    The windows of all lines are hashed together, then those that reach over a line's end are left out.
+    A shorter line than a window is filled up with NULs, which makes it one window.
     """
     if not lines:
         return np.zeros((0, hashes), "<u2")
     whole = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
     length = np.fromiter(map(len, whole), np.int64, len(whole))
     x = (window_hashes("".join(whole)) >> np.uint64(32)).astype(np.uint32)
-    start = np.cumsum(length) - length
-    # Pairs of places: where a line's windows begin, and where those begin that it shares with the next line.
-    at = np.stack([start, start + length - SHINGLE + 1], 1).ravel()[:-1]
+    end = np.cumsum(length)
+    own = np.ones(end[-1], bool)
+    own[end[:, None] - np.arange(1, SHINGLE)] = False
+    x = x[own[: len(x)]]
+    start = end - length - (SHINGLE - 1) * np.arange(len(whole))
     low = np.empty((hashes, len(lines)), np.uint32)
     y = np.empty_like(x)
     for k in range(hashes):
         np.multiply(x, _A[k], out=y)
-        low[k] = np.minimum.reduceat(y, at)[::2]
+        np.minimum.reduceat(y, start, out=low[k])
     low ^= low >> 15
     low *= np.uint32(0x2C1B3C6D)
     low ^= low >> 12
@@ -100,7 +108,11 @@ class LineSets:
         x = _codes(line)
         if len(x) < SHINGLE:  # filled up with what is no character
             x = np.concatenate([x, np.full(SHINGLE - len(x), 0x110000, np.uint64)])
-        return np.unique(_windows(x))
+        x = _windows(x)
+        x.sort()  # np.unique takes some five times as long for so few
+        new = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        return x[new]
 
     linked = staticmethod(linked_sets)
 
@@ -133,22 +145,19 @@ def _first_place(doc: int | None) -> int:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """k1, k2, n, the first place and the signature (a struct of one number a band) of each different line.
+    """k1, k2, n, the first place and the packed signature of each different line.
 
     Tasks count lines before they hash them, so that a line of many documents is hashed and sent once a task;
     all that is aggregated after that has a fixed width.
     """
-    bands = [f"b{k}" for k in range(LINES.trees)]
-    names = ["k1", "k2", "n", "place", *bands]
+    sig = packed(LINES.hashes)
+    names = ["k1", "k2", "n", "place", *sig]
 
     def made(held: dict[str, list[int]]) -> pa.RecordBatch:
         lines = list(held)
-        sigs = [signatures(lines[a:b]) for a, b in steps(lines, STEP)]
-        packed = np.zeros((len(lines), LINES.trees, 4), "<u2")
-        packed[:, :, : LINES.step] = np.concatenate(sigs).reshape(len(lines), LINES.trees, LINES.step)
-        longs = packed.view(np.int64)[:, :, 0]
+        longs = pack(np.concatenate([signatures(lines[a:b]) for a, b in steps(lines, STEP)]))
         counts, places = zip(*held.values(), strict=True)
-        return pa.RecordBatch.from_arrays([*_digests(lines), pa.array(counts, pa.int64()), _numbers(places), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(LINES.trees))], names)
+        return pa.RecordBatch.from_arrays([*_digests(lines), pa.array(counts, pa.int64()), _numbers(places), *(pa.array(np.ascontiguousarray(x)) for x in longs.T)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, chars = {}, 0
@@ -169,10 +178,9 @@ def _classes(docs: DataFrame) -> DataFrame:
         if held:
             yield made(held)
 
-    schema = f"{DIGEST}, n long, place {PLACE}, " + ", ".join(f"{b} long" for b in bands)
+    schema = f"{DIGEST}, n long, place {PLACE}, " + ", ".join(f"{c} long" for c in sig)
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
-    same = parts.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("place").alias("place"), *(F.max(b).alias(b) for b in bands))
-    return same.select("k1", "k2", "n", "place", F.struct(*bands).alias("sig"))
+    return parts.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("place").alias("place"), *(F.max(c).alias(c) for c in sig))
 
 
 def _places(docs: DataFrame, text: bool = False) -> DataFrame:
@@ -225,21 +233,18 @@ _DOC = f"CASE WHEN place >= {-(1 << 95)}BD THEN cast((place - pmod(place, 429496
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, whole (a hash of the text) and places (sorted) of the lines that go."""
     bounded_batches(docs.sparkSession)
-    names = stash(_classes(docs).withColumn("rep", F.monotonically_increasing_id()))
+    names = _stash(_classes(docs).withColumn("rep", F.monotonically_increasing_id()))
 
     def texts(wanted: DataFrame) -> DataFrame:
         keys = names.select("rep", "place", "k1", "k2")
-        keys = stash(_filtered(keys, ["rep"], wanted).join(wanted, "rep", "left_semi").select("rep", "k1", "k2", F.expr(_DOC).alias("doc_id"), F.expr(_AT).alias("at")))
+        keys = _stash(_filtered(keys, ["rep"], wanted).join(wanted, "rep", "left_semi").select("rep", "k1", "k2", F.expr(_DOC).alias("doc_id"), F.expr(_AT).alias("at")))
         some = _filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], keys)
         lines = _filtered(_places(some, text=True), ["k1", "k2"], keys)
         # Of rows that repeat an id several may have the line there: one is enough.
         lines = lines.withColumnRenamed("doc_id", "d").join(keys, ["k1", "k2", "at"]).where(F.col("d").eqNullSafe(F.col("doc_id")))
         return lines.select("rep", F.col("line").alias("text")).dropDuplicates(["rep"])
 
-    bands = [F.col(f"sig.b{k}") for k in range(LINES.trees)]
-    # The same hashes in another order, which all signatures have.
-    binary = F.unhex(F.concat(*(F.lpad(F.hex(b), 4 * LINES.step, "0") for b in bands)))
-    linked = roots(names.select("rep", "sig"), texts, LINES, LineSets, PERCENT, carry=True, prefixes=F.array(*bands), binary=binary)
+    linked = roots(names, texts, LINES, LineSets, PERCENT, packed=True)
     told = _keepers(names.select("rep", "k1", "k2", "n", "place"), linked)
     lines = _filtered(_places(docs), ["k1", "k2"], told).join(told, ["k1", "k2"])
     gone = lines.where(f"{_PLACE} <> keep")
@@ -250,13 +255,13 @@ def _keepers(names: DataFrame, linked: DataFrame) -> DataFrame:
     """k1, k2 and keep (a place) of each class that isn't alone with one line."""
     # Only linked classes and their roots need another aggregation.
     roots_ = linked.select(F.col("root").alias("rep")).distinct().select("rep", F.col("rep").alias("root"))
-    in_groups = stash(linked.select(F.col("node").alias("rep"), "root").unionByName(roots_))
-    grouped = stash(_filtered(names, ["rep"], in_groups).join(in_groups, "rep").select("rep", "root", "k1", "k2", "place"))
+    in_groups = _stash(linked.select(F.col("node").alias("rep"), "root").unionByName(roots_))
+    grouped = _stash(_filtered(names, ["rep"], in_groups).join(in_groups, "rep").select("rep", "root", "k1", "k2", "place"))
     # Written, so that the join has an exchange on either side and Spark can split a large group.
-    keep = stash(grouped.groupBy("root").agg(F.min("place").alias("keep")))
+    keep = _stash(grouped.groupBy("root").agg(F.min("place").alias("keep")))
     several = grouped.join(keep, "root").select("k1", "k2", "keep")
     alone = names.where("n > 1").join(in_groups, "rep", "left_anti").select("k1", "k2", F.col("place").alias("keep"))
-    return stash(several.unionByName(alone))
+    return _stash(several.unionByName(alone))
 
 
 def _masks(gone: DataFrame) -> DataFrame:
@@ -282,7 +287,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     documents that may have one: a filter lets the others pass.
     """
     own, key, hashed, mask, lost, maybe = (fresh(docs, x) for x in ("own", "key", "hashed", "mask", "lost", "maybe"))
-    gone = stash(_masks(dropped(docs.select("doc_id", "text")))).select(F.col("doc_id").alias(key), F.col("whole").alias(hashed), F.col("mask").alias(mask), F.col("lost").alias(lost))
+    gone = _stash(_masks(dropped(docs.select("doc_id", "text")))).select(F.col("doc_id").alias(key), F.col("whole").alias(hashed), F.col("mask").alias(mask), F.col("lost").alias(lost))
     size = gone.agg(F.coalesce(F.sum(F.length(mask) + 32), F.lit(0))).first()[0]
     keyed = docs.withColumn(own, _whole())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed))

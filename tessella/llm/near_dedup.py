@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bands
 from .common import FILTER_BITS, bit_filter, bounded_batches, filter_bits, maybe_in, stash, text_of, without
 from .components import components
 
@@ -255,26 +256,29 @@ def _shared(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return filtered(keys, F.col("region"), sizes, F.col("region"), 64).join(sizes, "region")
 
 
-def regions(reps: DataFrame, forest: Forest = DOCUMENTS, carry: bool = False, prefixes: Column | None = None, binary: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+def regions(reps: DataFrame, forest: Forest = DOCUMENTS) -> tuple[DataFrame, DataFrame | None]:
     """(region, members, tree, rep, deep) of the regions of two classes or more and REGION at most, and
     (region, tree, rep, sig) of the larger ones.  reps: rep and sig.
 
-    deep has a bit for each tree in which the text's region was larger, so that a pair can't rely on meeting
-    there.  carry: with the sig too, which pays if it is short.  prefixes and binary: where sig is not binary, the
-    first hashes of each tree, and what makes it binary.
+    deep has a bit for each tree in which the text's region was larger, so that a pair can't rely on meeting there.
     """
-    own = ["rep", "sig"] if carry else ["rep"]
-    sig = F.col("sig") if binary is None else binary
-    keyed = reps.select("rep", "sig", F.posexplode(_prefixes(forest) if prefixes is None else prefixes).alias("tree", "prefix"))
+    keyed = reps.select("rep", "sig", F.posexplode(_prefixes(forest)).alias("tree", "prefix"))
     keyed = keyed.withColumn("region", F.xxhash64("tree", "prefix")).drop("prefix")
     sizes = stash(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    found = _shared(keyed.select(*own, "region", "tree"), sizes.where(F.col("members") <= REGION)).select("region", "members", "tree", "rep", *([sig.alias("sig")] if carry else []))
+    found = _shared(keyed.select("rep", "region", "tree"), sizes.where(F.col("members") <= REGION)).select("region", "members", "tree", "rep")
     large = sizes.where(F.col("members") > REGION)
     if large.isEmpty():
         return found.withColumn("deep", F.lit(0).cast("long")), None
-    hot = stash(_shared(keyed, large).select("region", "tree", "rep", sig.alias("sig")))
-    deep = hot.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
-    return found.join(deep, "rep", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long"))), hot
+    hot = stash(_shared(keyed, large).select("region", "tree", "rep", "sig"))
+    return _with_deep(found, "rep", hot), hot
+
+
+def _with_deep(rows: DataFrame, rep: str, hot: DataFrame | None) -> DataFrame:
+    """rows with deep, of the text in the column rep."""
+    if hot is None:
+        return rows.withColumn("deep", F.lit(0).cast("long"))
+    deep = hot.groupBy(F.col("rep").alias(rep)).agg(F.expr("bit_or(shiftleft(1L, tree))").alias("deep"))
+    return rows.join(deep, rep, "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long")))
 
 
 def cuts(labels: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -396,8 +400,9 @@ def _sigs(column: pa.Array | pa.ChunkedArray, hashes: int) -> np.ndarray:
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many hashes of each row of x agree with those of each row of y."""
     if x.shape[1] < 128:
-        columns = np.ascontiguousarray(y.T)
-        return np.stack([np.add.reduce((columns == row[:, None]).view(np.uint8), axis=0, dtype=np.uint8) for row in x]).astype(np.int64)
+        # A plane of flags for each hash, and their sum.
+        same = np.ascontiguousarray(x.T)[:, :, None] == np.ascontiguousarray(y.T)[:, None]
+        return np.add.reduce(same.view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
     same = x[:, None] == y[None]
     if same.shape[2] % 8:
         return same.sum(2)
@@ -436,6 +441,47 @@ def _small(members: DataFrame, forest: Forest, percent: int) -> DataFrame:
     return dealt(members.select("region", "rep", "tree", "deep", "sig")).mapInArrow(run, "a long, b long").distinct()
 
 
+def _paired(pairs: DataFrame, signs: DataFrame, forest: Forest, percent: int) -> DataFrame:
+    """Those pairs whose estimate is high enough.  pairs: a, b, tree (the first of the small regions that they share)
+    and deep.  signs: rep and the packed signature."""
+    names = bands.packed(forest.hashes)
+    one, two = (signs.select(F.col("rep").alias(end), *(F.col(c).alias(end + c) for c in names)) for end in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "tree", "deep", *(end + c for end in "ab" for c in names))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = forest.least_estimate(percent / 100)
+        for batch in (x for x in batches if x.num_rows):
+            first, second = (bands.unpack(batch.columns[k : k + len(names)], forest.hashes) for k in (4, 4 + len(names)))
+            equal = first == second
+            ok = np.flatnonzero(equal.mean(1) >= least)
+            tree, deep = (batch.column(k).to_numpy()[ok] for k in (2, 3))
+            ok = ok[~met_before(equal[ok], tree, deep, forest)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(ok)) for k in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _by_bands(reps: DataFrame, forest: Forest, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Pairs of the small regions, as _small has them; the rows of the larger ones (region, rep, tree, deep, sig), and
+    of those above REGION (region, tree, rep, sig).  reps: a written table of rep and the packed signature.
+
+    As regions, for signatures of few hashes: only the numbers of texts are looked for, and signatures follow where
+    two texts meet.
+    """
+    rows = stash(bands.shared(reps, forest, FEW, REGION))
+    pairs = stash(rows.where("members = 0").groupBy("a", "b").agg(F.min("tree").alias("tree")))
+    large = rows.where("members <> 0").select("region", "members", "tree", F.col("a").alias("rep"))
+    signs = reps.select("rep", *bands.packed(forest.hashes))
+    # As bytes only where needed; a join by text keeps them where the next needs them.
+    binary = signs.join(large.select("rep").distinct(), "rep", "left_semi").select("rep", bands.binary(forest.hashes).alias("sig"))
+    signed = large.join(binary, "rep")
+    hot = None
+    if not large.where("members < 0").isEmpty():
+        hot = stash(signed.where("members < 0").select("region", "tree", "rep", "sig"))
+    small = stash(_paired(_with_deep(pairs, "a", hot), signs, forest, percent))
+    return small, _with_deep(signed.where("members > 0"), "rep", hot), hot
+
+
 def region_pairs(tree: int, deep: np.ndarray, sigs: np.ndarray, forest: Forest, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of a region that are to be compared in it: their places, and their estimates."""
     n, enough = len(sigs), least * forest.hashes
@@ -576,18 +622,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingler: Callable, percent:
     return two.mapInArrow(run, "a long, b long")
 
 
-def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable, percent: int, carry: bool = False, prefixes: Column | None = None, binary: Column | None = None) -> DataFrame:
+def roots(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], forest: Forest, shingler: Callable, percent: int, packed: bool = False) -> DataFrame:
     """node and root of every rep that is linked to a smaller one.
 
-    reps: rep and sig.  texts: makes rep and text of a table of wanted reps.  shingler: makes what turns a
-    text into a set (a call) and tells whether two sets are linked.  carry, prefixes, binary: see regions.
+    reps: rep and sig, or (packed) a written table of rep and the packed signature.  texts: makes rep and text of a
+    table of wanted reps.  shingler: makes what turns a text into a set (a call) and tells whether two sets are linked.
     """
-    found, hot = regions(reps, forest, carry, prefixes, binary)
-    members = stash(found)
-    signed = (lambda x: x) if carry else (lambda x: x.join(reps, "rep"))
-    few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
-    pairs = stash(_small(signed(few), forest, percent))
-    compared_ = _needed(signed(many), forest, percent)
+    if packed:
+        pairs, many, hot = _by_bands(reps, forest, percent)
+    else:
+        found, hot = regions(reps, forest)
+        members = stash(found)
+        few, many = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW).join(reps, "rep")
+        pairs = stash(_small(few.join(reps, "rep"), forest, percent))
+    compared_ = _needed(many, forest, percent)
     needed = stash(compared_ if hot is None else compared_.unionByName(_again(hot, forest, percent)))
     wanted = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct())
     full = stash(texts(wanted))

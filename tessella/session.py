@@ -74,11 +74,11 @@ def scratch() -> Iterator[None]:
         _clear(start)
 
 
-def written(df: DataFrame, stem: str = "rows") -> DataFrame:
-    """df, written to the shared folder and read back: what follows neither computes it again nor
-    depends on an executor that may be lost."""
+def written(df: DataFrame, stem: str = "rows", **options: str) -> DataFrame:
+    """df, written to the shared folder (as the writer's options say) and read back: what follows neither computes
+    it again nor depends on an executor that may be lost."""
     path = shared_path(df.sparkSession, stem)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
