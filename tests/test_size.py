@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessella import queries
 from tessella.functions import grid
 
 
@@ -15,3 +16,26 @@ def test_tiles_of_one_image_are_dealt(spark, monkeypatch):
     found = sorted((r.id, r.tile_row, r.tile_col, r.tile_height, r.tile_width) for r in rows)
     assert found == sorted((i, y, x, min(b, h - y * b), min(b, w - x * b)) for i, b, h, w in sizes for y in range(-(-h // b)) for x in range(-(-w // b)))
     assert max(Counter(r.task for r in rows).values()) < len(rows) / 2
+
+
+def test_tasks_of_the_index_grow_with_the_rows(spark, monkeypatch):
+    items = spark.range(20_000).select((F.col("id") * 7919 % 600).alias("l_suppkey"), (F.col("id") * 104729 % 3001).alias("l_partkey"), F.lit(1.0).alias("l_quantity")).cache()
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: items)
+    monkeypatch.setattr(queries, "TASK_ROWS", 1000, raising=False)
+    blocks = queries.index_h(spark, "").withColumn("task", F.spark_partition_id()).collect()
+    tasks = Counter(r.task for r in blocks)
+    assert len(tasks) >= 15
+    assert max(tasks.values()) < len(blocks) / 5
+    seen = Counter((k, (r >> k) // 16, (c >> k) // 16) for r, c in {tuple(x)[:2] for x in items.collect()} for k in range(3))
+    assert sorted((r.level, r.tile_row, r.tile_col, r.is_mask, r.nbytes) for r in blocks) == sorted((*k, m, n % 5 if m else n * 8) for k, n in seen.items() for m in (False, True))
+
+
+def test_index_below_zero_and_null(spark, monkeypatch):
+    rows = [(y, x, 1.0) for y in (None, -200, -65, -64, -63, -33, -32, -31, -17, -16, -1, 0, 15, 64) for x in (None, -70, -40, -15, 0, 70)] * 2
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double"))
+    monkeypatch.setattr(queries, "TASK_ROWS", 4, raising=False)
+    at = lambda v, k: None if v is None else int((v >> k) / 16)
+    seen = Counter((k, at(r, k), at(c, k)) for r, c, _ in set(rows) for k in range(3))
+    found = Counter({(r.level, r.tile_row, r.tile_col): r.nbytes // 8 for r in queries.index_h(spark, "").where("NOT is_mask").collect()})
+    assert found == seen
+    assert queries.index_h(spark, "").count() == 2 * len(seen)
