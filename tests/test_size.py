@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella import queries
 from tessella.functions import grid
+from tessella.operators import layout
 
 
 def test_tiles_of_one_image_are_dealt(spark, monkeypatch):
@@ -18,6 +19,48 @@ def test_tiles_of_one_image_are_dealt(spark, monkeypatch):
     assert max(Counter(r.task for r in rows).values()) < len(rows) / 2
 
 
+def shuffled(spark, df):
+    """The rows of df, and the records that its exchanges wrote."""
+    context, name = spark.sparkContext, "shuffled"
+    context.setJobGroup(name, name)
+    rows, tracker, store = df.collect(), context.statusTracker(), context._jsc.sc().statusStore()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for job in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(job).stageIds}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return rows, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_absent_tiles_are_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(queries, "BLOCK", 1)
+    kinds = "l_suppkey long, l_partkey long, l_quantity double"
+    rows = [(0, 0, 1.0), (3, 900, 1.0), (3, 901, 1.0), (3, 901, 1.0), (40, 5, 1.0), (60, 999, 1.0)]
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: spark.createDataFrame(rows, kinds))
+    # As for tables that are too large to broadcast.
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found, records = shuffled(spark, queries.sparse_tiles(spark, ""))
+    finally:
+        spark.conf.set(key, before)
+    assert len(found) == 2 * sum(((60 >> k) + 1) * ((999 >> k) + 1) for k in range(3))
+    assert records < len(found) / 20
+
+
+def test_whole_grids(spark, monkeypatch):
+    monkeypatch.setattr(layout, "RUN", 6, raising=False)
+    sizes = [(0, 4, 11), (1, 1, 1), (2, 2, 3), (3, 0, 5)]
+    # Two at one place, the ends of rows and runs, one without bytes, and two outside of the grid.
+    placed = [(0, 0, 0, False, 10, 5), (0, 0, 3, False, 15, 1), (0, 0, 3, False, 16, 2), (0, 0, 10, True, 18, 3), (0, 2, 2, True, 21, 4), (2, 1, 0, True, 25, 0), (2, 2, 0, False, 30, 1), (0, 1, 11, True, 40, 1)]
+    found = layout.with_sparse(spark.createDataFrame(sizes, "level int, rows int, cols int"), spark.createDataFrame(placed, "level int, tile_row int, tile_col int, is_mask boolean, off long, nbytes int"))
+    assert dict(found.dtypes) == {"level": "int", "tile_row": "int", "tile_col": "int", "is_mask": "boolean", "off": "bigint", "nbytes": "int"}
+    there = {}
+    for *key, off, nbytes in placed:
+        there.setdefault(tuple(key), []).append((off, nbytes))
+    expected = [(k, y, x, m, *at) for k, h, w in sizes for y in range(h) for x in range(w) for m in (False, True) for at in there.get((k, y, x, m), [(0, 0)])]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_tasks_of_the_index_grow_with_the_rows(spark, monkeypatch):
     items = spark.range(20_000).select((F.col("id") * 7919 % 600).alias("l_suppkey"), (F.col("id") * 104729 % 3001).alias("l_partkey"), F.lit(1.0).alias("l_quantity")).cache()
     monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: items)
